@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, pii, simhash, token_files
+from quire.llm import decontaminate, pii, simhash, token_files, url_filter
 from quire.llm.common import table
 
 
@@ -34,6 +34,12 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[c.alias(n) for n, c in pii.digest(found).items()])
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = spark.createDataFrame([(u,) for u in url_filter.LISTED], "url string")
+    judged = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), url_filter.rule_table(spark, url_filter.RULES), listed)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(table(spark, sf_dir, "documents"), shingle=4, radius=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -44,5 +50,29 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op9_simhash_near_dedup, op10_token_files)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_url_filter, op9_simhash_near_dedup, op10_token_files)}
+ORACLES: dict[str, str] = {
+    "op3_url_filter": f"""
+        with rules(rule, rule_host, rule_path, verdict) as (
+            values {", ".join(f"('{h}{p}', '{h}', '{p}', '{v}')" for v, h, p in url_filter.RULES)}
+        ),
+        rests as (
+            select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages
+        ),
+        urls as (
+            select row_number() over () as n, page_id,
+                translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+                regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') as path
+            from rests
+        ),
+        fits as (
+            select n, arg_max(rule, length(rule)) as rule, arg_max(verdict, length(rule)) as verdict
+            from urls join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
+            group by n
+        )
+        select page_id, host, path, fits.rule as rule,
+            coalesce(fits.verdict, case when regexp_replace(regexp_replace(host, '^www\\.', ''), '\\.?(:[0-9]*)?\\z', '')
+                in ({", ".join(f"'{u}'" for u in url_filter.LISTED)}) then 'block' else 'allow' end) as verdict
+        from urls left join fits using (n)
+    """,
+}
