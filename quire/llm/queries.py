@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, pii, simhash, token_files, url_filter
+from quire.llm import decontaminate, neighbours, pii, quality, simhash, token_files, url_filter
 from quire.llm.common import table
 
 
@@ -40,6 +40,15 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(table(spark, sf_dir, "documents"), shingle=4, radius=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -50,7 +59,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_url_filter, op9_simhash_near_dedup, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_url_filter, op4_nearest_neighbours, op6_quality, op9_simhash_near_dedup, op10_token_files)}
 ORACLES: dict[str, str] = {
     "op3_url_filter": f"""
         with rules(rule, rule_host, rule_path, verdict) as (
