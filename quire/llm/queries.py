@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, neighbours, pii, quality, simhash, token_files, url_filter
+from quire.llm import decontaminate, neighbours, pieces, pii, quality, simhash, token_files, url_filter
 from quire.llm.common import table
 
 
@@ -49,6 +49,14 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    spelled = pieces.decode(pieces.encode(docs, model, rate=0.1, seed=42, variants=4), model)
+    n_tokens = F.floor(F.octet_length("ids") / 2).cast("long")
+    return spelled.select("doc_id", n_tokens.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), (F.col("decoded") == F.col("text")).alias("lossless"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(table(spark, sf_dir, "documents"), shingle=4, radius=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -59,7 +67,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_url_filter, op4_nearest_neighbours, op6_quality, op9_simhash_near_dedup, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_url_filter, op4_nearest_neighbours, op6_quality, op8_sentencepiece, op9_simhash_near_dedup, op10_token_files)}
 ORACLES: dict[str, str] = {
     "op3_url_filter": f"""
         with rules(rule, rule_host, rule_path, verdict) as (

@@ -14,7 +14,7 @@ word has only 2,081 such neighbours, so those groups stay small however many fin
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -28,23 +28,33 @@ LOW_BITS = 0x5555555555555555
 SLAB = 4096
 
 
-def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
-    """Signed 64-bit SimHash of word shingles, repeats included; fewer words make one shingle, none make zero."""
+def shingle_hashes(text: bytes, shingle: int = 4, seed: int = 42) -> Iterator[np.ndarray]:
+    """XXH64 of the word shingles in order, repeats included, a slab at a time; fewer words make one shingle, none none."""
     from xxhash import xxh64_intdigest
 
     words = text.translate(ASCII_LOWER).split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     k = min(shingle, len(words))
     starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - k + 1].tolist()
     stops = ends[k - 1 :].tolist()
-    ones = np.zeros(64, np.int64)
     for at in range(0, len(starts), SLAB):
-        hashes = np.array([xxh64_intdigest(joined[x:y], seed) for x, y in zip(starts[at : at + SLAB], stops[at : at + SLAB])], ">u8")
-        ones += np.add.reduce(np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1), axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(starts)).view(">u8")[0].astype(np.uint64).astype(np.int64))
+        yield np.array([xxh64_intdigest(joined[x:y], seed) for x, y in zip(starts[at : at + SLAB], stops[at : at + SLAB], strict=True)], np.uint64)
+
+
+def _vote(slabs: Iterable[np.ndarray]) -> int:
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in slabs:
+        ones += np.add.reduce(np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1), axis=0, dtype=np.int64)
+        n += len(hashes)
+    return int(np.packbits(ones * 2 > n).view(">u8")[0].astype(np.uint64).astype(np.int64)) if n else 0
+
+
+def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
+    """Signed 64-bit SimHash of word shingles: a bit is set if it is set in over half of the hashes; no words give zero."""
+    return _vote(shingle_hashes(text, shingle, seed))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
@@ -198,3 +208,130 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lowest = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = materialise(classes.join(lowest, "root").select("fp", "component_id"), "classes")
     return prints.join(classes, "fp").select(id_col, "fp", "component_id")
+
+
+BANDS, BAND_ROWS = 14, 4
+PIECE = 1024
+SLACK = 0.11
+
+
+def _least(slabs: list[np.ndarray]) -> np.ndarray:
+    """The smallest of each of BANDS * BAND_ROWS hashes of the shingles."""
+    factors = np.random.default_rng(5).integers(1, 2**63, (BANDS * BAND_ROWS, 2), dtype=np.uint64) | np.uint64(1)
+    out = np.full(len(factors), 2**32 - 1, np.uint64)
+    for hashes in slabs:
+        for x in range(0, len(hashes), 512):
+            mixed = (hashes[None, x : x + 512] * factors[:, :1] + factors[:, 1:]) >> np.uint64(32)
+            np.minimum(out, mixed.min(axis=1), out=out)
+    return out.astype("<u4")
+
+
+def _likely(sigs: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Edges of a forest that spans what is likely to be similar, by the most likely edges (Prim's algorithm)."""
+    n, edges = len(sigs), []
+    best, source, out = np.full(n, -1.0), np.full(n, -1), np.ones(n, bool)
+    for _ in range(n):
+        at = int(np.argmax(np.where(out, best, -2.0)))
+        if best[at] >= least:
+            edges.append((int(source[at]), at))
+        elif best[at] >= 0:
+            best[out] = -1.0
+        out[at] = False
+        alike = (sigs == sigs[at]).mean(axis=1)
+        nearer = out & (alike > best)
+        best[nearer], source[nearer] = alike[nearer], at
+    return edges
+
+
+def similar_links(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, seed: int = 42) -> DataFrame:
+    """Columns a, b: ids of rows whose shingle sets have a Jaccard similarity of at least `similarity`, enough to connect them.
+
+    Equal texts are linked as such. Of the different ones, those that share one of 14 bands of 4 minimum hashes meet;
+    each bucket proposes the edges of a forest by estimated similarity, in pieces of bounded size that share the bucket's
+    first member, and each edge is then checked on the texts themselves.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sigs = [], []
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                slabs = list(shingle_hashes(t.as_py(), shingle, seed))
+                if slabs:
+                    ids.append(i)
+                    sigs.append(_least(slabs).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sigs, pa.binary())], ["id", "sig"])
+
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.md5(text_bytes(docs[text_col])).alias("same"))
+    classes = materialise(rows.groupBy("same").agg(F.min("id").alias("rep")), "texts")
+    copies = rows.join(classes, "same").where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(docs[text_col]).alias("t"))
+    texts = texts.withColumn("same", F.md5("t")).join(classes.withColumnRenamed("rep", "id"), ["id", "same"], "left_semi").select("id", "t")
+    signed = materialise(texts.mapInArrow(run, "id long, sig binary"), "signatures")
+
+    bands = F.array(*[F.xxhash64(F.lit(k), F.substring("sig", k * BAND_ROWS * 4 + 1, BAND_ROWS * 4)) for k in range(BANDS)])
+
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, sigs, first = None, [], [], None
+
+        def edges() -> pa.RecordBatch:
+            found = _likely(np.frombuffer(b"".join(sigs), "<u4").reshape(len(sigs), -1), similarity - SLACK) if len(ids) > 1 else []
+            pairs = [sorted((ids[x], ids[y])) for x, y in found]
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for band, i, sig in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if band != at or len(ids) >= PIECE:
+                    if len(ids) > 1:
+                        yield edges()
+                    ids, sigs = ([first[0]], [first[1]]) if band == at else ([], [])
+                    if band != at:
+                        at, first = band, (i, sig)
+                ids.append(i)
+                sigs.append(sig)
+        if len(ids) > 1:
+            yield edges()
+
+    met = signed.select(F.explode(bands).alias("band"), "id", "sig").repartition("band").sortWithinPartitions("band", "sig", "id")
+    edges = materialise(met.mapInArrow(propose, "a long, b long").distinct(), "candidates")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[bytes, set[int]] = (b"", set())
+
+        def shingles(t: bytes) -> set[int]:
+            return set(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(t, shingle, seed)]).tolist())
+
+        for batch in batches:
+            keep = []
+            for ta, tb in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = ta.as_py(), tb.as_py()
+                last = last if last[0] == y else (y, shingles(y))
+                sa, sb = shingles(x), last[1]
+                common = len(sa & sb)
+                keep.append(common >= similarity * (len(sa) + len(sb) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    used = materialise(texts.join(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct(), "id"), "candidate-texts")
+    pairs = edges.join(used.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(used.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
+    return copies.unionByName(pairs.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
+    """docs with one row of each group of near-duplicates: that of the smallest id.
+
+    Rows are linked by fingerprints within `radius` bits, and by a Jaccard similarity of their shingle sets of at least
+    `similarity`, which fingerprints of 64 bits alone would miss for the most part: at 0.8 they differ in ten bits or so.
+    Rows without words link with one another. Of rows that repeat an id one stays (the smallest text); rows with a null
+    id stay. Columns and their order stay.
+    """
+    found = materialise(components(docs, id_col, text_col, shingle, radius).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("a"), F.col("component_id").cast("long").alias("b")), "near")
+    links = found.where("a != b").unionByName(similar_links(docs, id_col, text_col, shingle, similarity))
+    gone = connected_components(links, "a", "b").where("node != root").select(F.col("node").alias("__gone"))
+    names = docs.columns
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    key, body = (F.col(f"c{names.index(c)}") for c in (id_col, text_col))
+    repeated = plain.where(key.isNotNull()).groupBy(key.cast("long").alias("__id")).agg(F.count("*").alias("n")).where("n > 1")
+    stay = plain.join(gone, key.cast("long") == F.col("__gone"), "left_anti")
+    several = stay.join(repeated, key.cast("long") == F.col("__id"), "left_semi")
+    others = stay.join(repeated, key.cast("long") == F.col("__id"), "left_anti")
+    first = several.groupBy(key.alias("__id")).agg(F.min_by(F.struct(*plain.columns), F.struct(body.isNull(), body)).alias("row")).select("row.*")
+    return others.unionByName(first).toDF(*names)

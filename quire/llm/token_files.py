@@ -16,6 +16,7 @@ import json
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +31,8 @@ MAGIC = b"QTOK0001"
 GAMMA = 2.0
 LAST_LEVEL = 64
 FIXED = np.dtype([("fingerprint", "<u8"), ("key", "<i8"), ("offset", "<u8"), ("n_ids", "<u8"), ("row", "<u4"), ("copies", "<u4")])
-CACHE_WORDS = 400_000
+CACHE_PARTS = 250_000
+CACHE_PIECES = 600_000
 
 
 def mix(keys: np.ndarray, salt: int) -> np.ndarray:
@@ -125,62 +127,68 @@ class Encoder:
     """Ids of a text as the tokenizer's own encode gives them, as little-endian bytes.
 
     The tokenizer collapses white space, drops it and never joins pieces across it, so a text's ids are those of its
-    white-space-separated parts in turn; parts seen before are looked up. Its special tokens are found in the raw text
-    with case, so a text that may hold one is encoded whole.
+    white-space-separated parts in turn. Lower-case Latin letters and the ASCII marks after them are pieces of their
+    own that its normaliser leaves as they are, so the library's model takes them directly. Parts and pieces seen
+    before are looked up. The tokenizer's special tokens are found in the raw text with case, so a text that may hold
+    one is encoded whole.
     """
 
     PLAIN = re.compile("([a-zß-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+    LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 
-    def __init__(self, path: str, kind: str, cache_words: int = CACHE_WORDS):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, kind: str, parts: int = CACHE_PARTS, pieces: int = CACHE_PIECES):
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.kind, self.limit = Tokenizer.from_file(path), np.dtype(kind), cache_words
+        self.tokenizer, self.kind, self.most_parts, self.most_pieces = Tokenizer.from_file(path), np.dtype(kind), parts, pieces
         self.lower = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-        self.known: dict[bytes, bytes] = {}
+        split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelled = str.maketrans({c: split.pre_tokenize_str(c)[0][0] for c in self.LETTERS})
+        self.parts: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
-
-    def _learn(self, parts: set[bytes]) -> None:
-        if len(self.known) + len(parts) > self.limit:
-            self.known.clear()
-        if len(self.pieces) > self.limit:
-            self.pieces.clear()
-        split: list[tuple[bytes, list[str]]] = []
-        need: dict[str, None] = {}
-        for part in parts:
+        return array("HI"[self.kind.itemsize // 4], ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        got = self.pieces.get(piece)
+        if got is None:
+            if len(self.pieces) >= self.most_pieces:
+                self.pieces.clear()
+            got = self.pieces[piece] = self._pack([t.id for t in self.tokenizer.model.tokenize(piece.translate(self.spelled))])
+        return got
+
+    def _part(self, part: bytes) -> bytes:
+        got = self.parts.get(part)
+        if got is None:
+            if len(self.parts) >= self.most_parts:
+                self.parts.clear()
             text = part.decode()
             m = self.PLAIN.fullmatch(text)
-            pieces = [p for p in m.groups() if p] if m else [text]
-            split.append((part, pieces))
-            need.update((p, None) for p in pieces if p not in self.pieces)
-        names = list(need)
-        for name, e in zip(names, self.tokenizer.encode_batch_fast(names, add_special_tokens=False), strict=True):
-            self.pieces[name] = self._pack(e.ids)
-        for part, pieces in split:
-            self.known[part] = self.pieces[pieces[0]] if len(pieces) == 1 else b"".join(self.pieces[p] for p in pieces)
-
-    def encode_all(self, texts: list[bytes]) -> list[bytes]:
-        whole = {k for k, t in enumerate(texts) if b"<|" in t}
-        out: list[bytes] = []
-        for k, text in enumerate(texts):
-            if k in whole:
-                out.append(self._pack(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids))
-                continue
-            parts = text.translate(self.lower).split()
-            try:
-                out.append(b"".join(map(self.known.__getitem__, parts)))
-            except KeyError:
-                self._learn(set(parts).difference(self.known))
-                if not all(p in self.known for p in parts[:1]):  # the table was emptied on the way
-                    self._learn(set(parts))
-                out.append(b"".join([self.known[p] if p in self.known else self._one(p) for p in parts]))
-        return out
+            if m:
+                got = self._piece(m[1]) + self._piece(m[2]) if m[2] else self._piece(m[1])
+            else:
+                got = self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+            self.parts[part] = got
+        return got
+
+    def encode(self, text: bytes) -> bytes:
+        if b"<|" in text:
+            return self._pack(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids)
+        parts = text.translate(self.lower).split()
+        try:
+            return b"".join(map(self.parts.__getitem__, parts))
+        except KeyError:
+            return b"".join(map(self._part, parts))
+
+
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
+
 
-    def _one(self, part: bytes) -> bytes:
-        self._learn({part})
-        return self.known[part]
+def encoder_for(path: str, kind: str) -> Encoder:
+    """A Python worker's encoder: what it has looked up serves its next tasks too."""
+    if (path, kind) not in _ENCODERS:
+        _ENCODERS[path, kind] = Encoder(path, kind)
+    return _ENCODERS[path, kind]
 
 
 def vocabulary_size(path: str) -> int:
@@ -205,7 +213,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     rows = rows.repartitionByRange(n, "key", "tie").sortWithinPartitions("key", "tie", "text").select("key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(tokenizer, kind), b"" if end_id is None else np.array([end_id], kind).tobytes()
+        encoder, end = encoder_for(tokenizer, kind), b"" if end_id is None else np.array([end_id], kind).tobytes()
         width, name = np.dtype(kind).itemsize, f"{path}/{uuid.uuid4().hex}"
         keys, counts, out, fs, at = [], [], None, None, ""
         for batch in batches:
@@ -215,11 +223,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
                 fs, at = local_or_uri(name)
                 fs.create_dir(at.rpartition("/")[0], recursive=True)
                 out = fs.open_output_stream(f"{at}.bin", compression=None)
-            payloads = encoder.encode_all([t.as_py() for t in batch.column(1)])
             keys.append(batch.column(0).to_numpy())
-            counts.append(np.fromiter((len(p) // width + (len(end) > 0) for p in payloads), np.int64, len(payloads)))
-            for p in payloads:
-                out.write(p + end)
+            sizes = []
+            for text in batch.column(1):
+                payload = encoder.encode(text.as_py()) + end
+                sizes.append(len(payload) // width)
+                out.write(payload)
+            counts.append(np.array(sizes, np.int64))
         if out is None:
             return
         out.close()
