@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, neighbours, pieces, pii, quality, simhash, token_files, url_filter
+from quire.llm import chat, decontaminate, licenses, neighbours, pieces, pii, quality, simhash, token_files, url_filter
 from quire.llm.common import table
 
 
@@ -45,10 +45,22 @@ def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    told = F.transform("licences", lambda x: F.concat_ws(":", x["family"], x["start"].cast("string"), x["end"].cast("string")))
+    return found.select("doc_id", F.size("licences").cast("long").alias("n_licences"), F.array_join(told, ",").alias("licences"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op7_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = chat.rotate(table(spark, sf_dir, "conversations"))
+    masks = F.array_join(F.transform("masks", lambda m: F.concat_ws(":", m["start"].cast("string"), m["end"].cast("string"))), ",")
+    return shown.select("conv_id", "speaker", "block", F.col("n_messages").cast("long").alias("n_messages"), "rendered", masks.alias("masks"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = tokenizer_path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -67,7 +79,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_url_filter, op4_nearest_neighbours, op6_quality, op8_sentencepiece, op9_simhash_near_dedup, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_url_filter, op4_nearest_neighbours, op5_licenses, op6_quality, op7_chat_rotation, op8_sentencepiece, op9_simhash_near_dedup, op10_token_files)}
 ORACLES: dict[str, str] = {
     "op3_url_filter": f"""
         with rules(rule, rule_host, rule_path, verdict) as (
@@ -92,4 +104,24 @@ ORACLES: dict[str, str] = {
                 in ({", ".join(f"'{u}'" for u in url_filter.LISTED)}) then 'block' else 'allow' end) as verdict
         from urls left join fits using (n)
     """,
+    "op7_chat_rotation": """
+        with m as (select distinct conv_id, turn, role, text from conversations),
+        p as (select distinct conv_id, role as speaker from m where role <> 'system'),
+        r as (
+            select m.conv_id, speaker, turn // 64 as block, turn, role, text, role = speaker as own,
+                '<|im_start|>' || case when role = speaker then 'assistant' when role = 'system' then 'system'
+                    else 'user name=' || role end || chr(10) as head,
+                replace(text, '<|im_', '<| im_') || '<|im_end|>' || chr(10) as body
+            from m join p using (conv_id)
+        ),
+        s as (
+            select *, sum(length(head) + length(body)) over (
+                partition by conv_id, speaker, block order by turn, role, text rows unbounded preceding) as stop
+            from r
+        )
+        select conv_id, speaker, block, count(*) as n_messages,
+            string_agg(head || body, '' order by turn, role, text) as rendered,
+            coalesce(string_agg(case when own then (stop - length(body))::bigint || ':' || (stop - 1)::bigint end, ',' order by turn, role, text), '') as masks
+        from s group by conv_id, speaker, block
+    """,
 }
