@@ -21,6 +21,11 @@ def paragraphs(texts: Column) -> Column:
     return F.transform(texts, lambda t: F.struct(F.lit("paragraph").alias("kind"), t.alias("text"), F.lit(0).alias("level"), F.array().cast("array<string>").alias("items"), F.array().cast("array<array<string>>").alias("rows"), F.lit(False).alias("ordered")))
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """rows, with the columns so far computed once: filters and later columns don't repeat their expressions per element."""
+    return rows.select(F.explode(F.array(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))).alias("__row")).select("__row.*")
+
+
 def is_residue(block: Column) -> Column:
     """Whether a block is left over from a table of contents: by its text, or by most of a list's items."""
     hits = F.size(F.filter(block["items"], T.is_toc_residue))
@@ -35,12 +40,12 @@ def is_toc_chapter(title: Column, reason: Column) -> Column:
 
 def trim_residue(chapters: DataFrame) -> DataFrame:
     """Takes residue out of blocks (all of it in a chapter that is a table of contents, else what leads) and counts it in toc_trimmed."""
-    marked = chapters.withColumn("__residue", F.transform("blocks", is_residue))
+    marked = settled(chapters.withColumn("__residue", F.transform("blocks", is_residue)))
     first_kept = F.coalesce(F.array_position("__residue", False), F.lit(0)).cast("int")
     led = F.when(first_kept == 0, F.array().cast(BLOCKS)).otherwise(F.slice("blocks", F.greatest(first_kept, F.lit(1)), F.greatest(F.size("blocks"), F.lit(1))))
     clean = F.filter("blocks", lambda b, k: ~F.get(F.col("__residue"), k))
     kept = F.when(is_toc_chapter(F.col("title"), F.col("classify_reason")), clean).otherwise(led)
-    marked = marked.withColumn("__kept", kept)
+    marked = settled(marked.withColumn("__kept", kept))
     return marked.withColumns({"toc_trimmed": F.size("blocks") - F.size("__kept"), "blocks": F.col("__kept")}).drop("__residue", "__kept")
 
 
@@ -75,11 +80,11 @@ def normalize_notes(notes: Column) -> Column:
 def normalize_chapters(chapters: DataFrame) -> DataFrame:
     """Residue, blocks, notes and titles put right; chapters with neither blocks nor notes left go."""
     out = trim_residue(chapters)
-    out = out.withColumn("blocks", drop_empty(F.transform("blocks", normalize_block)))
+    out = settled(out.withColumn("blocks", drop_empty(F.transform("blocks", normalize_block))))
     out = out.withColumn("blocks", drop_repeats(F.col("blocks"))).withColumn("footnotes", normalize_notes(F.col("footnotes")))
     title = T.normalize_paragraph(F.coalesce("title", F.lit("")))
     out = out.withColumn("title", F.when(title == "", "Untitled Section").otherwise(title))
-    return out.where((F.size("blocks") > 0) | (F.size("footnotes") > 0))
+    return settled(out).where((F.size("blocks") > 0) | (F.size("footnotes") > 0))
 
 
 def merge_paragraphs(texts: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators.blocks import settled
 from quire.operators.render import NO_TITLE, block_text
 
 UNIT = "array<struct<text:string,size:int,blocks:int,level:int>>"
@@ -128,10 +129,10 @@ def build_chunks(books: DataFrame, chapters: DataFrame, sizes: Sizes = Sizes(),
         return F.struct(full.alias("text"), c["blocks"].alias("blocks"), c["headings"].alias("headings"), (F.size(notes) > 0).alias("noted"))
 
     closed = F.flatten(F.transform(F.filter("packed", lambda c: ~c["own_notes"]), lambda c: T.note_labels(c["text"])))
-    packed = packed.withColumn("__cited", closed)
+    packed = settled(packed.withColumn("__cited", closed))
     orphans = F.filter("__notes", lambda n: ~F.array_contains(F.col("__cited"), n["label"]))
     last = F.struct(F.concat(F.lit("## Footnotes\n"), F.array_join(F.transform("__orphans", line), "\n")).alias("text"), F.size("__orphans").alias("blocks"), F.array(F.lit("## Footnotes")).alias("headings"), F.lit(True).alias("noted"))
-    packed = packed.withColumn("__orphans", orphans)
+    packed = settled(packed.withColumn("__orphans", orphans))
     chunks = F.filter(F.transform("packed", with_notes), lambda c: c["text"] != "")
     packed = packed.withColumn("__chunks", F.concat(chunks, F.when(F.size("__orphans") > 0, F.array(last)).otherwise(F.array().cast("array<struct<text:string,blocks:int,headings:array<string>,noted:boolean>>"))))
     rows = packed.select("book", "id", "title", "order", "kind", "source_ref", F.posexplode("__chunks").alias("pos", "c"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
 
 K1, B = 1.2, 0.75
+SHARD_CHARS = 8_000_000
 
 
 def document_frequencies(chunks: DataFrame, text: str = "text") -> DataFrame:
@@ -51,3 +55,47 @@ def recall(retrieved: DataFrame, expected: DataFrame) -> DataFrame:
     hit = F.coalesce(F.arrays_overlap("got", "expected"), F.lit(False))
     judged = expected.where(F.size("expected") > 0).join(got, "query_id", "left").select(hit.cast("int").alias("hit"))
     return judged.agg(F.count("*").alias("queries"), F.coalesce(F.sum("hit"), F.lit(0)).alias("hits"), F.avg(F.col("hit").cast("double")).alias("recall"))
+
+
+def containing(rows: DataFrame, passages: DataFrame, text: str, passage_id: str, passage: str, shard_chars: int = SHARD_CHARS) -> DataFrame:
+    """rows (without text) joined with the passage_id of each passage that their text holds word for word.
+
+    Passages are looked for all at once by an Aho-Corasick automaton of at most shard_chars characters, which is what is
+    broadcast; further passages make further automata, each run over all rows. Empty and null passages are left out.
+    """
+    import ahocorasick
+
+    spark, kept = rows.sparkSession, [c for c in rows.columns if c != text]
+    base = rows.select(F.struct(*kept).alias("x"), F.coalesce(text, F.lit("")).alias("t"))
+    kind, out = passages.schema[passage_id].dataType.simpleString(), None
+
+    def shards() -> Iterator[dict]:
+        held: dict[str, list] = {}
+        size = 0
+        for r in passages.select(F.col(passage_id).alias("i"), F.col(passage).alias("p")).where("p != ''").toLocalIterator():
+            if size and size + len(r["p"]) > shard_chars:
+                yield held
+                held, size = {}, 0
+            held.setdefault(r["p"], []).append(r["i"])
+            size += len(r["p"])
+        yield held
+
+    def search(shard: dict) -> DataFrame:
+        shared = spark.sparkContext.broadcast(shard)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            machine = ahocorasick.Automaton()
+            for p, ids in shared.value.items():
+                machine.add_word(p, ids)
+            machine.make_automaton()
+            for batch in batches:
+                ids = [sorted({i for _, found in machine.iter(t.as_py()) for i in found}) if len(machine) else [] for t in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.from_numpy_dtype("int64") if kind == "bigint" else pa.string()))], ["x", "ids"])
+
+        found = base.mapInArrow(run, f"x {base.schema['x'].dataType.simpleString()}, ids array<{kind}>")
+        return found.select("x.*", F.explode("ids").alias(passage_id))
+
+    for shard in shards():
+        part = search(shard)
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -19,6 +19,7 @@ class Conversion:
     chapters: DataFrame
     chunks: DataFrame
     sizes: chunk.Sizes
+    back_matter: bool = False
 
     @property
     def stats(self) -> DataFrame:
@@ -52,8 +53,19 @@ class Conversion:
     def chunk_diagnostics(self) -> DataFrame:
         return diagnostics.chunk_diagnostics(self.chunks, self.sizes)
 
+    def written(self, path: str) -> Conversion:
+        """The same with its tables written under path and read from there."""
+        spark, made = self.books.sparkSession, {}
+        for name in ("books", "chapters"):
+            getattr(self, name).write.parquet(f"{path}/{name}")
+            made[name] = spark.read.parquet(f"{path}/{name}")
+        chunks = chunk.build_chunks(made["books"], made["chapters"], self.sizes, self.back_matter)
+        chunks.write.parquet(f"{path}/chunks")
+        return Conversion(made["books"], made["chapters"], spark.read.parquet(f"{path}/chunks"), self.sizes, self.back_matter)
+
     def write(self, path: str) -> None:
-        """All artifacts under path, each table in a folder of its own."""
+        """All artifacts under path, each table in a folder of its own. Chapters and chunks are made once, and read from there."""
+        self = self.written(f"{path}/tables")
         files.write_lines(files.chunk_lines(self.chunks), f"{path}/chunks")
         files.write_documents(self.markdown.withColumn("name", F.lit("book")), f"{path}/markdown")
         files.write_documents(self.chapter_markdown.withColumnRenamed("id", "name"), f"{path}/chapters")
@@ -70,4 +82,4 @@ def convert(spark: SparkSession, path: str, sizes: chunk.Sizes = chunk.Sizes(),
 
 def convert_library(library: epub.Library, sizes: chunk.Sizes = chunk.Sizes(), back_matter: bool = False) -> Conversion:
     chapters = blocks.normalize_chapters(library.chapters)
-    return Conversion(library.books, chapters, chunk.build_chunks(library.books, chapters, sizes, back_matter), sizes)
+    return Conversion(library.books, chapters, chunk.build_chunks(library.books, chapters, sizes, back_matter), sizes, back_matter)
