@@ -2,12 +2,12 @@
 
 The vocabulary is that of a byte-pair SentencePiece model with byte fallback. Merges run from an agenda: the best
 scored adjacent pair that is a piece, the leftmost of equals, is taken next. With dropout, a candidate is skipped when a keyed
-hash of the seed, the variant, the unit, the candidate's place and its piece falls under the rate. The hash replaces a random
+hash of the seed, the variant and the part, at the candidate's place and length, falls under the rate. The hash replaces a random
 draw, so a lost task that runs again gives the same ids.
 
-No piece crosses certain pairs of adjacent characters (above all the start of a run of spaces after anything else), so
-a text falls into units that are segmented by themselves. Each place of a unit in a document picks one of `variants`
-segmentations by a keyed hash of seed, document and place; units segmented before are looked up.
+No piece joins certain pairs of adjacent characters (a space after anything else, or a Latin letter and anything else),
+so a text falls into parts that are segmented by themselves. Each place of a part in a document picks one of `variants`
+segmentations by a keyed hash of seed, document and place; parts segmented before are looked up.
 
 Ids decode to exactly the text's bytes: characters outside the vocabulary, and the space sign itself where a text holds it,
 are spelled in byte pieces; a space stands before each text that is not empty, as the model's own encoder puts one
@@ -29,25 +29,24 @@ from pyspark.sql import functions as F
 from quire.llm.token_files import mix
 
 SPACE = "▁"
+LETTERS = "A-Za-z\u00C0-\u024F"
+PARTS = re.compile(f" *[{LETTERS}]+| *[^{LETTERS} ]+| +")
 UNITS = re.compile(" *[^ ]+| +")
-CACHE_UNITS = 200_000
-CACHE_PARTS = 300_000
+CACHE_PARTS = 560_000
 MASK = 2**64 - 1
 SHORT = 48
 NEVER = float("-inf")
 
 
 def _draw(key: int, left: int, size: int) -> int:
-    """A candidate's 64-bit draw from its unit's key, its place and its length."""
-    h = (key ^ (left * 0x9E3779B97F4A7C15 + size * 0xC2B2AE3D27D4EB4F)) & MASK
-    h = ((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9) & MASK
-    return ((h ^ (h >> 32)) * 0x94D049BB133111EB) & MASK
+    """A candidate's 15-bit draw: the bits of its part's 128-bit key that its place and length point at."""
+    return key >> (left * 29 + size * 11) % 113 & 0x7FFF
 
 
 class Pieces:
     """A model's vocabulary and the segmentations worked out so far."""
 
-    def __init__(self, path: str, rate: float, seed: int, variants: int, units: int = CACHE_UNITS, parts: int = CACHE_PARTS):
+    def __init__(self, path: str, rate: float, seed: int, variants: int, parts: int = CACHE_PARTS):
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
@@ -66,21 +65,23 @@ class Pieces:
         for b, i in enumerate(self.byte_ids):
             self.bytes_of[i] = bytes([b])
         self.table = np.array(self.bytes_of, object)
-        self.limit, self.seed, self.variants = int(rate * 2**64), seed, variants if rate else 1
-        self.most_units, self.most_parts = units, parts
-        self.units: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        latin = re.compile(f"[{LETTERS}]")
+        crossing = any(bool(latin.match(a)) != bool(latin.match(b)) for a, b in self.joins if a != " ")
+        self.cut = UNITS if crossing else PARTS  # PARTS where no piece joins a Latin letter and anything else
+        self.limit, self.seed, self.variants = round(rate * 2**15), seed, variants if rate else 1
+        self.most_parts = parts
         self.parts: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
 
     def segment(self, part: str, variant: int) -> list[int]:
         """Ids of a part by the agenda."""
-        from xxhash import xxh64_intdigest
+        from xxhash import xxh128_intdigest
 
         if len(part) <= SHORT:
             return self._segment_short(part, variant)
         symbols = list(part)
         n = len(symbols)
         scores, limit = self.scores, self.limit
-        key = xxh64_intdigest(part.encode(), (self.seed * 1_000_003 + variant) & MASK) if limit else 0
+        key = xxh128_intdigest(part.encode(), (self.seed * 1_000_003 + variant) & MASK) if limit else 0
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda: list[tuple[float, int, int, str]] = []
 
@@ -111,10 +112,10 @@ class Pieces:
 
     def _segment_short(self, part: str, variant: int) -> list[int]:
         """The same for a short part: the agenda is a plain list of the pairs' scores."""
-        from xxhash import xxh64_intdigest
+        from xxhash import xxh128_intdigest
 
         symbols, get, limit = list(part), self.scores.get, self.limit
-        key = xxh64_intdigest(part.encode(), (self.seed * 1_000_003 + variant) & MASK) if limit else 0
+        key = xxh128_intdigest(part.encode(), (self.seed * 1_000_003 + variant) & MASK) if limit else 0
         starts = list(range(len(symbols)))
         agenda = [get(a + b, NEVER) for a, b in zip(symbols, symbols[1:], strict=False)]
         while agenda:
@@ -123,7 +124,7 @@ class Pieces:
                 break
             k = agenda.index(best)
             piece = symbols[k] + symbols[k + 1]
-            if limit and _draw(key, starts[k], len(piece)) < limit:
+            if limit and key >> (starts[k] * 29 + len(piece) * 11) % 113 & 0x7FFF < limit:  # _draw
                 agenda[k] = NEVER
                 continue
             symbols[k] = piece
@@ -148,39 +149,27 @@ class Pieces:
         held = self.parts[variant]
         got = held.get(part)
         if got is None:
+            if len(part) > SHORT:  # a long run falls apart where no piece joins its characters
+                cuts = [0, *[k for k, x in enumerate(zip(part, part[1:], strict=False), 1) if x not in self.joins], len(part)]
+                if len(cuts) > 2:
+                    return b"".join([self._part(part[a:b], variant) for a, b in zip(cuts, cuts[1:], strict=False)])
             if len(held) >= self.most_parts // self.variants:
                 held.clear()
             got = array(self.code, self.segment(part, variant)).tobytes()
-            if len(part) <= 64:
+            if len(part) <= SHORT:
                 held[part] = got
         return got
 
-    def _unit(self, unit: str, variant: int) -> bytes:
-        held = self.units[variant]
-        got = held.get(unit)
-        if got is None:
-            if len(held) >= self.most_units // self.variants:
-                held.clear()
-            joins, cuts = self.joins, [0]
-            cuts += [k for k, x in enumerate(zip(unit, unit[1:], strict=False), 1) if x not in joins]
-            cuts.append(len(unit))
-            got = b"".join([self._part(unit[a:b], variant) for a, b in zip(cuts, cuts[1:], strict=False)])
-            if len(unit) <= 64:
-                held[unit] = got
-        return got
-
     def encode(self, text: str, key: int) -> bytes:
         """Ids as little-endian bytes; key stands for the document in the choice of variants."""
         if not text:
             return b""
-        units = [" " + w for w in text.split(" ")] if "  " not in text and text[-1] != " " else UNITS.findall(" " + text)
+        parts, held, part = self.cut.findall(" " + text), self.parts, self._part
         if self.variants == 1:
-            held, unit = self.units[0], self._unit
-            return b"".join([held.get(u) or unit(u, 0) for u in units])
-        places = np.arange(len(units), dtype=np.uint64) + np.uint64((key * 0x9E3779B97F4A7C15) & MASK)
+            return b"".join([held[0].get(p) or part(p, 0) for p in parts])
+        places = np.arange(len(parts), dtype=np.uint64) + np.uint64((key * 0x9E3779B97F4A7C15) & MASK)
         chosen = (mix(places, self.seed) % np.uint64(self.variants)).tolist()
-        held, unit = self.units, self._unit
-        return b"".join([held[v].get(u) or unit(u, v) for u, v in zip(units, chosen, strict=True)])
+        return b"".join([held[v].get(p) or part(p, v) for p, v in zip(parts, chosen, strict=True)])
 
     def decode(self, ids: bytes) -> bytes:
         raw = b"".join(self.table[np.frombuffer(ids, self.kind)].tolist())
