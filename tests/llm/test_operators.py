@@ -1,0 +1,439 @@
+"""The training-data operators against plain versions, on whole small tables and on odd rows."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from quire.llm import chat, decontaminate, licenses, neighbours, pieces, pii, quality, queries, simhash, token_files, url_filter
+from quire.llm.common import connected_components, table
+
+from tests.compare import assert_same
+
+ODD = [None, "", " ", "\n\t", "a", "É😀 ñ", "x" * 50_000, "a b c d " * 3_000, "1 " * 4_000, "one two three four", "one two three four"]
+WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def lower(text: str) -> str:
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Odd texts, repeated rows, a null id, and columns with clashing names."""
+    rows = [(k, t, "l", "s", 1, "h", "i", "x") for k, t in enumerate(ODD)] + [(3, "\n\t", "l", "s", 1, "h", "i", "x"), (None, "null id", None, None, None, None, None, None)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, hits string, ids string, pii string")
+
+
+def texts_of(spark, sf):
+    return {r.doc_id: r.text for r in table(spark, sf, "documents").collect()}
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_rows_equal_sql(spark, sf, name):
+    assert_same(spark, sf, queries.QUERIES[name], queries.ORACLES[name])
+
+
+# 1: decontamination
+
+
+def plain_hits(text: str, items: list[tuple[int, str]], window: int):
+    words = re.findall(WORDS, lower(text or ""))
+    hit, ids = set(), set()
+    for i, item in items:
+        w = re.findall(WORDS, lower(item or ""))
+        for k in range(max(1, len(w) - window + 1) if w else 0):
+            part = w[k : k + window]
+            for at in range(len(words) - len(part) + 1):
+                if words[at : at + len(part)] == part:
+                    hit.update(range(at, at + len(part)))
+                    ids.add(str(i))
+    return len(words), len(hit), sorted(ids)
+
+
+def test_decontamination_rows(spark, sf):
+    items = [(r.item_id, r.text) for r in table(spark, sf, "benchmark").collect()]
+    got = {r.doc_id: r for r in queries.op1_decontaminate(spark, sf).collect()}
+    texts = texts_of(spark, sf)
+    assert set(got) == set(texts)
+    for i in sorted(texts, key=lambda i: (not got[i].contaminated, len(texts[i])))[:60]:
+        n, hit, ids = plain_hits(texts[i], items, 10)
+        assert (got[i].n_words, got[i].n_hit, got[i].n_items, got[i].contaminated) == (n, hit, len(ids), hit > 0)
+        assert got[i].items_sha256 == hashlib.sha256(",".join(ids).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("shard_words", [100_000, 7])
+def test_automaton_against_windows(spark, shard_words):
+    rng = np.random.default_rng(0)
+    say = lambda n: " ".join(rng.choice(list("abc"), n))
+    items = [(k, say(int(rng.integers(1, 12)))) for k in range(15)] + [(99, None), (98, " ")]
+    docs = [(k, say(int(rng.integers(0, 40)))) for k in range(60)]
+    found = decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), window=4, shard_words=shard_words)
+    for r in found.collect():
+        n, hit, ids = plain_hits(dict(docs)[r.doc_id], items, 4)
+        assert (r.n_words, sum(s.end - s.start for s in r.hits), r.item_ids) == (n, hit, ids)
+
+
+def test_decontamination_cuts(spark, odd):
+    items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "Clean text stays as it is, all of it here; more words too, and so on. Start ONE two, three four five six seven eight nine ten! End."), (2, "one two three four five six seven eight nine ten"), (3, "one two")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in decontaminate.remove(docs, items).collect()}
+    assert set(got) == {1, 3} and got[1].endswith("on. Start ! End.") and got[3] == "one two"
+    kept = decontaminate.remove(odd, items)
+    assert kept.columns == odd.columns and kept.count() == odd.count()
+    assert decontaminate.find(odd.limit(0), items).count() == 0
+    assert decontaminate.find(odd, items.limit(0)).where("size(hits) > 0").count() == 0
+
+
+# 2: personal data
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def passes(kind: str, m: str) -> bool:
+    digits = re.sub("[^0-9]", "", m)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in m.split("."))
+    if kind == "card":
+        total = sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(digits)))
+        return 16 <= len(digits) <= 19 and total % 10 == 0
+    return kind == "email" or 8 <= len(digits) <= 15
+
+
+def plain_spans(text: str | None) -> list[str]:
+    return [f"{k}:{m.start()}:{m.end()}" for k, p in BASE.items() for m in re.finditer(p, text or "") if passes(k, m[0])]
+
+
+def test_personal_data_rows(spark, sf):
+    texts = texts_of(spark, sf)
+    for r in queries.op2_pii(spark, sf).collect():
+        want = plain_spans(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x.startswith(k) for x in want) for k in BASE]
+
+
+def test_personal_data_odd(spark, odd):
+    texts = ["1.2.3.4.5.6.7.8 999.1.1.1 01.002.0255.3", "a@b.c_d@e.f a@b..c@d.e @x.y", "+1 (555) 12-34- 567 +123 +12345678901234567", "4111 1111 1111 1111 4111-1111-1111-1111 41111111111111112", "É😀 x@y.zz 1.1.1.1"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.find(rows).collect():
+        assert [f"{s.kind}:{s.start}:{s.end}" for s in r.pii if s.kind in BASE] == plain_spans(texts[r.doc_id])
+    assert pii.find(odd).count() == odd.count() and pii.mask(odd).columns == odd.columns
+    long = spark.createDataFrame([(k, t) for k, t in enumerate(["1" * 200_000, "a" * 200_000, "+1" + " " * 100_000, "1.2.3.4 " * 3_000, "a." * 60_000 + "@"])], "doc_id long, text string")
+    assert {r.doc_id: len(r.pii) for r in pii.find(long).collect()} == {0: 0, 1: 0, 2: 0, 3: 3_000, 4: 0}
+
+
+def test_scores_and_masks(spark):
+    rows = spark.createDataFrame([("DE89 3704 0044 0532 0130 00", 0), ("GB82WEST12345698765432 x GB82WEST12345698765433", 1), ("please call 555-123-4567", 2), ("number 555-123-4567", 3), ("mail a.b@c.example.com, from 10.0.0.1.", 4), (None, 5)], "text string, doc_id long")
+    got = {r.doc_id: [s.kind for s in r.pii] for r in pii.find(rows).collect()}
+    assert got == {0: ["iban"], 1: ["iban"], 2: ["local_phone"], 3: [], 4: ["email", "ip"], 5: []}
+    masked = {r.doc_id: r.text for r in pii.mask(rows).collect()}
+    assert masked[4] == "mail <EMAIL>, from <IP>." and masked[5] is None and masked[3] == "number 555-123-4567"
+
+
+# 3: URL filters
+
+
+def test_bloom_filter(spark):
+    listed = spark.createDataFrame([(f"k{k}",) for k in range(500)], "key string")
+    asked = spark.range(20_000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
+    for blocks in (10_000, 0):
+        passed = {r.key for r in url_filter.might_hold(asked, "key", listed, "key", blocks).collect()}
+        assert {f"k{k}" for k in range(500)} <= passed and len(passed) < 700
+
+
+def test_url_odd(spark):
+    urls = [None, "", "no scheme", "https://", "HTTP://A.Example.COM/en/7x?q#f", "x://notexample.com/en/7", "x://net/de/", "x://a.example.net/de/8", "x://www.bad.org:80/p/", "x://bad.org/p?z", "x://bad.org/p2", "x://bad.org/p"]
+    pages = spark.createDataFrame([(k, u, "c") for k, u in enumerate(urls)] + [(4, urls[4], "c")], "page_id long, url string, host string")
+    listed = spark.createDataFrame([("bad.org/p",), ("bad.org/p",), (None,)], "url string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages, url_filter.rule_table(spark, url_filter.RULES), listed).collect()}
+    assert got[0] == got[1] == got[2] == got[3] == ("", "", None, "allow")
+    assert got[4] == ("a.example.com", "/en/7x", "example.com/en/7", "allow")
+    assert got[5] == ("notexample.com", "/en/7", "com/en/", "block")
+    assert got[6][2:] == ("net/de/", "allow") and got[7][2:] == ("example.net/de/8", "block")
+    assert [got[k][3] for k in (8, 9, 10, 11)] == ["block", "block", "allow", "block"]
+    assert url_filter.judge(pages, url_filter.rule_table(spark, []).limit(0), listed.limit(0)).where("verdict = 'block'").count() == 0
+    assert url_filter.judge(pages.limit(0), url_filter.rule_table(spark, url_filter.RULES), listed).count() == 0
+
+
+# 4: nearest neighbours
+
+
+def plain_nearest(rows: list[tuple[int, list[float]]], query: int, k: int) -> list[int]:
+    ids = np.array([i for i, _ in rows])
+    x = np.array([v for _, v in rows], float)
+    norm = np.sqrt((x * x).sum(axis=1))
+    at = int(np.flatnonzero(ids == query)[0])
+    s = (x @ x[at]) / (norm * norm[at])
+    order = [int(ids[j]) for j in np.lexsort((ids, -np.round(s, 12))) if ids[j] != query]
+    return order[:k]
+
+
+def test_neighbours_recall(spark, sf):
+    vectors = [(r.vec_id, list(r.embedding)) for r in table(spark, sf, "embeddings").collect()]
+    got: dict[int, list[int]] = {}
+    for r in queries.op4_nearest_neighbours(spark, sf).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert set(got) == {i for i, _ in vectors if i % 50 == 0}
+    found = [len(set(got[q]) & set(plain_nearest(vectors, q, 5))) / 5 for q in got]
+    assert np.mean(found) >= 0.9
+
+
+def test_descent_and_search(spark):
+    rng = np.random.default_rng(1)
+    rows = [(k, v.tolist()) for k, v in enumerate(rng.normal(size=(1500, 12)))]
+    table_ = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = table_.where("vec_id % 30 = 0")
+    found: dict[int, set[int]] = {}
+    for r in neighbours.nearest(table_, asked, leaf=128, trees=3, degree=16, rounds=2, beam=48).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    assert np.mean([len(found[q] & set(plain_nearest(rows, q, 5))) / 5 for q in found]) >= 0.9
+
+
+def test_neighbours_odd(spark):
+    nan = float("nan")
+    rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.0], 0), (3, [0.0, 1.0], 0), (4, None, 0), (5, [0.0, 0.0], 0), (6, [nan, 1.0], 0), (7, [None, 1.0], 0), (8, [1.0], 0), (None, [1.0, 1.0], 0), (3, [0.0, 1.0], 0), (9, [2.0, 0.0], 0)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")
+    got = {(r.query_id, r["rank"]): (r.vec_id, round(r.score, 12)) for r in neighbours.nearest(vectors, vectors).collect()}
+    assert got == {(1, 1): (2, 1.0), (1, 2): (9, 1.0), (1, 3): (3, 0.0), (2, 1): (1, 1.0), (2, 2): (9, 1.0), (2, 3): (3, 0.0), (3, 1): (1, 0.0), (3, 2): (2, 0.0), (3, 3): (9, 0.0), (9, 1): (1, 1.0), (9, 2): (2, 1.0), (9, 3): (3, 0.0)}
+    same = spark.range(200).select(F.col("id").alias("vec_id"), F.array(F.lit(0.5), F.lit(0.25)).alias("embedding"))
+    got = {r.query_id: r.ids for r in neighbours.nearest(same, same.where("vec_id in (0, 3, 150)")).groupBy("query_id").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).collect()}
+    assert got == {0: [1, 2, 3, 4, 5], 3: [0, 1, 2, 4, 5], 150: [0, 1, 2, 3, 4]}
+    assert neighbours.nearest(vectors.limit(0), vectors.limit(0)).count() == 0
+
+
+# 5: licence scans
+
+
+def test_licences(spark, odd):
+    background = ["the cat sat on the mat and so on"] * 200
+    model = licenses.fit(background)
+    say = lambda t: [h[0] for h in licenses.scan_text(t, model, 0.5, 0.6)]
+    for family, templates in licenses.TEMPLATES.items():
+        assert any(say(t) == [family] for t in templates), family
+    assert say("Released under the MIT License.") == ["MIT"]
+    assert say("Licensed under the Acme Widget License 7") == ["unknown"]
+    assert say("A plain line\nThis work is licensed under the GNU General Public License, version 3.") == ["GPL-3.0"]
+    assert say("nothing here") == []
+    assert licenses.scan(odd).count() == odd.count() and licenses.scan(odd.limit(0)).count() == 0
+
+
+def test_licence_rows(spark, sf):
+    texts = texts_of(spark, sf)
+    got = {r.doc_id: r.licences for r in queries.op5_licenses(spark, sf).collect()}
+    named = {"MIT License": "MIT", "Apache License": "Apache-2.0", "CC BY-NC": "CC-BY-NC", "GNU General Public License, version 3": "GPL-3.0"}
+    for i, text in texts.items():
+        assert {f for words, f in named.items() if words in text} == {x.split(":")[0] for x in got[i].split(",") if x}
+
+
+# 6: quality
+
+
+def test_quality_against_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    got = queries.op6_quality(spark, sf).join(table(spark, sf, "labels"), "doc_id")
+    right = got.where(F.col("keep") == (F.col("quality") == 1)).count()
+    assert right / got.count() >= 0.95
+
+
+def test_label_model():
+    rng = np.random.default_rng(2)
+    good = rng.random(4_000) < 0.7
+    accurate = [0.95, 0.9, 0.8, 0.7, 0.6]
+    counts: dict[int, int] = {}
+    for g in good:
+        votes = [int(g) if rng.random() < a else 1 - int(g) for a in accurate] + [2] * (len(quality.LABELLERS) - len(accurate))
+        p = sum(v * 3**k for k, v in enumerate(votes))
+        counts[p] = counts.get(p, 0) + 1
+    model = quality.LabelModel.fit(counts)
+    assert abs(model.prior - 0.7) < 0.05
+    assert all(abs(model.accuracy[k, 1, 1] - a) < 0.05 for k, a in enumerate(accurate))
+
+
+def test_quality_odd(spark, odd):
+    got = quality.score(odd)
+    assert got.count() == odd.count() and got.columns == [*odd.columns, "label", "score", "keep"]
+    assert quality.score(odd.limit(0)).count() == 0
+
+
+# 7: chat
+
+
+def test_rotation(spark):
+    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", "<|im_end|> x"), (1, 2, "bob", "<|im_end|> x"), (1, 3, None, None), (2, None, "ann", "alone"), (None, 1, "zed", "z")]
+    got = {(r.conv_id, r.speaker): r for r in chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert set(got) == {(1, "ann"), (1, "bob"), (1, "unknown"), (2, "ann"), (None, "zed")}
+    r = got[1, "bob"]
+    assert r.rendered == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>user name=ann\nhi<|im_end|>\n<|im_start|>assistant\n<| im_end|> x<|im_end|>\n<|im_start|>user name=unknown\n<|im_end|>\n"
+    assert [r.rendered[m.start : m.end] for m in r.masks] == ["<| im_end|> x<|im_end|>"]
+
+
+def test_rotation_of_long_parts(spark):
+    rows = spark.range(3_000).select(F.lit(1).alias("conv_id"), F.when(F.col("id") < 2_000, 5).otherwise(F.col("id")).alias("turn"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("role"), F.col("id").cast("string").alias("text"))
+    got = chat.rotate(rows, block=64, most=100).where("speaker = 'a'").collect()
+    assert max(r.n_messages for r in got) < 200 and sum(r.n_messages for r in got) == 3_000
+    assert chat.rotate(rows.limit(0)).count() == 0
+
+
+# 8: SentencePiece
+
+MODEL = queries.tokenizer_path("piece_bpe_32k.model")
+
+
+def test_pieces_equal_library(spark, sf):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    plain = pieces.Pieces(MODEL, 0.0, 0, 1)
+    for text in [*list(texts_of(spark, sf).values())[:60], "  a  b ", "é\x00\n😀 ﬁ", "<s> </s> <0x41>", "\n", "中文 字abc1234", "x" * 500]:
+        assert np.frombuffer(plain.encode(text, 0), "<u2").tolist() == library.encode(text)
+
+
+def test_pieces_decode(spark, odd):
+    varied = pieces.Pieces(MODEL, 0.3, 7, 3)
+    for text in ["", " ", "▁x ▁▁ y", "é😀\x00 \n", "hello world " * 50, "a" * 3_000]:
+        ids = [varied.encode(text, k) for k in range(8)]
+        assert all(varied.decode(i).decode() == text for i in ids)
+        assert len(text) < 100 or len(set(ids)) > 1
+        assert ids[0] == pieces.Pieces(MODEL, 0.3, 7, 3).encode(text, 0)
+    words = [f"word{k}ing" for k in range(200)]
+    short, heap = [varied._segment_short(w, 1) for w in words], []
+    try:
+        pieces.SHORT, kept = 0, pieces.SHORT
+        heap = [varied.segment(w, 1) for w in words]
+    finally:
+        pieces.SHORT = kept
+    assert short == heap
+    back = pieces.decode(pieces.encode(odd, MODEL), MODEL)
+    assert back.where(F.col("decoded") != F.coalesce("text", F.lit(""))).count() == 0 and back.count() == odd.count()
+    assert pieces.encode(odd.limit(0), MODEL).count() == 0
+
+
+def test_pieces_rows(spark, sf):
+    got = queries.op8_sentencepiece(spark, sf).agg(F.count("*").alias("n"), F.count_if("lossless").alias("ok")).first()
+    assert got.n == got.ok == table(spark, sf, "documents").count()
+
+
+# 9: SimHash
+
+
+def plain_fingerprint(text: str | None, k: int) -> int:
+    from xxhash import xxh64_intdigest
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", lower(text or ""))
+    shingles = [" ".join(words[x : x + k]) for x in range(len(words) - k + 1)] or ([" ".join(words)] if words else [])
+    hashes = [xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_groups(prints: dict) -> dict:
+    ids = sorted(prints)
+    values = np.array([prints[i] for i in ids], np.uint64)
+    root = list(range(len(ids)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in np.argwhere(np.bitwise_count(values[:, None] ^ values[None, :]) <= 4):
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {i: ids[find(k)] for k, i in enumerate(ids)}
+
+
+def test_simhash_rows(spark, sf):
+    got = {r.doc_id: r for r in queries.op9_simhash_near_dedup(spark, sf).collect()}
+    texts = texts_of(spark, sf)
+    prints = {i: plain_fingerprint(t, 4) for i, t in texts.items()}
+    assert {i: int(r.fingerprint, 16) for i, r in got.items()} == prints
+    assert {i: r.component_id for i, r in got.items()} == plain_groups(prints)
+
+
+@pytest.mark.parametrize("cell_rows", [2048, 3])
+def test_links_of_dense_groups(spark, cell_rows):
+    rng = np.random.default_rng(3)
+    points = set()
+    for base in rng.integers(-(2**62), 2**62, 12).tolist():
+        for _ in range(40):
+            base ^= sum(1 << int(b) for b in rng.choice(63, int(rng.integers(1, 5)), replace=False))
+            points.add(base)
+    links = simhash.grid_links(spark.createDataFrame([(p,) for p in points], "fp long"), 4, cell_rows)
+    found = {r.node: r.root for r in connected_components(links, "a", "b").collect()}
+    want = plain_groups({p: p & (2**64 - 1) for p in points})
+    assert all(found.get(p, p) == want[p] for p in points)
+
+
+def test_simhash_odd(spark, odd):
+    got = simhash.components(odd)
+    assert got.count() == odd.count()
+    empty = got.where("fp = 0").collect()
+    assert {r.component_id for r in empty} == {0}
+    assert simhash.components(odd.limit(0)).count() == 0
+
+
+def test_keep_one(spark, odd):
+    rng = np.random.default_rng(4)
+    base = [" ".join(rng.choice([f"w{k}" for k in range(5_000)], 200)) for _ in range(20)]
+    near = [t.split() for t in base]
+    for k, words in enumerate(near):
+        words[50] = words[150] = f"new{k}"
+    rows = [(k, t) for k, t in enumerate([*base, *(" ".join(w) for w in near), *base])]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(20))
+    left = simhash.keep_one(odd)
+    ids = [r.doc_id for r in left.collect()]
+    assert left.columns == odd.columns and len(ids) == len(set(ids)) and None in ids and 9 in ids and 10 not in ids
+    assert simhash.keep_one(odd.limit(0)).count() == 0
+
+
+# 10: token files
+
+WORD_BPE = queries.tokenizer_path("word_bpe_49k.json")
+
+
+def test_token_rows(spark, sf):
+    from tokenizers import Tokenizer
+
+    tokenizer, at = Tokenizer.from_file(WORD_BPE), 0
+    got = {r.doc_id: r for r in queries.op10_token_files(spark, sf).collect()}
+    texts = texts_of(spark, sf)
+    for i in sorted(texts):
+        ids = np.array([*tokenizer.encode(texts[i], add_special_tokens=False).ids, 1], "<u4")
+        r = got[i]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+
+
+def test_encoder_equals_library():
+    from tokenizers import Tokenizer
+
+    tokenizer, encoder = Tokenizer.from_file(WORD_BPE), token_files.Encoder(WORD_BPE, "<u2", 20, 20)
+    for text in ["Don't we'll I'D <|endoftext|> x<|startoftext|>y", "É ÀÉ éa ﬁ K İ ſ ΑΣ.", "a b\x1cd\x85e", "日本語 123 45abc ½x ²", "'s 't 're'", "a" * 500, "<|ENDOFTEXT|> <| x", "e\u0301a \u0301", "", " \n", " ".join(f"w{k}x" for k in range(100))]:
+        assert np.frombuffer(encoder.encode(text.encode()), "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_perfect_hash():
+    keys = np.unique(np.random.default_rng(5).integers(-(2**62), 2**62, 5_000))
+    hashed = token_files.PerfectHash.build(keys)
+    assert sorted(hashed.slots(keys)) == list(range(len(keys)))
+    index = token_files.Index.parse(token_files.write_index(keys, np.arange(len(keys)), np.ones(len(keys), np.int64), 2))
+    assert (index.slots["key"][index.find(keys)] == keys).all()
+    assert (index.find(keys + 1) >= 0).sum() <= 1
+    assert token_files.Index.parse(token_files.write_index(keys[:0], keys[:0], keys[:0], 2)).find(keys[:3]).tolist() == [-1] * 3
+
+
+def test_token_files_odd(spark, odd, tmp_path):
+    catalog = token_files.write(odd, f"file://{tmp_path}/t", WORD_BPE, shards=3).cache()
+    rows = token_files.read(catalog, with_ids=True).collect()
+    assert len(rows) == odd.count()
+    ordered = sorted(rows, key=lambda r: r.start)
+    assert [r.start for r in ordered] == np.cumsum([0, *(r.n_tokens for r in ordered)])[:-1].tolist()
+    assert [r.key for r in ordered] == sorted(r.key for r in ordered)
+    found = token_files.lookup(spark, catalog, [5, 777])
+    assert set(found) == {5} and found[5].tolist() == next(r.ids for r in rows if r.key == 5)
+    none = token_files.write(odd.limit(0), f"file://{tmp_path}/e", WORD_BPE)
+    assert none.count() == 0 and token_files.read(none).count() == 0
