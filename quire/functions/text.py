@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Character classes. CJK letters and marks are the ranges that results depend on; Hangul is not in them.
 CJK = "\\u2E80-\\u9FFF"
 CJK_MARKS = "\\u3000-\\u303F\\uFF00-\\uFFEF"
-INVISIBLE = "[\\u200B\\u200C\\u200D\\uFEFF]"
 SENTENCE_ENDS = ".!?;\\n。！？；"
 PARAGRAPH_ENDS = ".!?:;,)\\]\"'。！？；：，、"
 TOC_NAMES = ["toc", "contents", "table of contents", "目录", "目次"]
@@ -17,23 +18,30 @@ NOTE_REF = r"\[\^([^\]]+)\]"
 
 #: White space at either end, Unicode's included; Spark's trim knows only the space. U+001C to U+001F stay.
 SPACE = "[\\t-\\r \\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
+SPACES = "".join(map(chr, (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+HIDDEN = "".join(map(chr, (0x200B, 0x200C, 0x200D, 0xFEFF)))
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def normalize_paragraph(text: Column) -> Column:
     """One line of text: no invisible characters, single spaces, and none between CJK letters or marks."""
-    plain = F.regexp_replace(trim(text), INVISIBLE, "")
-    single = trim(F.regexp_replace(plain, rf"{SPACE}+", " "))
+    plain = F.translate(trim(text), HIDDEN, "")
+    single = trim(F.regexp_replace(plain, f"{SPACE}+", " "))
     wide = f"[{CJK}{CJK_MARKS}]"
     return F.regexp_replace(single, f"(?<={wide}) (?={wide})", "")
 
 
 def normalize_inline(text: Column) -> Column:
     """Text between tags, entities already resolved: no invisible characters, single spaces (ASCII white space only)."""
-    plain = F.regexp_replace(F.regexp_replace(text, INVISIBLE, ""), "[\\u00A0\\u3000]", " ")
+    plain = F.regexp_replace(F.translate(text, HIDDEN, ""), "[\\u00A0\\u3000]", " ")
     return trim(F.regexp_replace(plain, r"[\t\n\f\r ]+", " "))
 
 
@@ -54,11 +62,14 @@ def has_page_marker(text: Column) -> Column:
 
 def is_toc_residue(text: Column) -> Column:
     """Whether a line reads like an entry of a table of contents."""
-    line = normalize_paragraph(text)
-    lower = F.lower(line)
-    led = line.contains("....") | line.contains("．．") | line.contains("· ·")
-    labelled = lower.rlike(r"^(?:chapter |part |book |section )|^第.*[章节]")
-    return lower.isin(*TOC_NAMES) | (has_page_marker(line) & (led | labelled))
+
+    def entry(line: Column) -> Column:
+        lower = F.lower(line)
+        led = line.contains("....") | line.contains("．．") | line.contains("· ·")
+        labelled = lower.rlike(r"^(?:chapter |part |book |section )|^第.*[章节]")
+        return lower.isin(*TOC_NAMES) | ((led | labelled) & has_page_marker(line))
+
+    return let(normalize_paragraph(text), entry)
 
 
 def estimate_tokens(text: Column, language: Column) -> Column:
@@ -172,9 +183,12 @@ def greedy_join(sentences: Column, target: int) -> Column:
 
 def split_long(text: Column, target: int = 1200, most: int = 1700) -> Column:
     """Pieces of a text: itself up to `most` characters, else its sentences joined up to `target`."""
-    whole = trim(text)
-    sentences = split_sentences(whole)
-    return F.when((F.length(whole) <= most) | (F.size(sentences) <= 1), F.array(whole)).otherwise(greedy_join(sentences, target))
+
+    def pieces(whole: Column) -> Column:
+        joined = let(split_sentences(whole), lambda s: F.when(F.size(s) <= 1, F.array(whole)).otherwise(greedy_join(s, target)))
+        return F.when(F.length(whole) <= most, F.array(whole)).otherwise(joined)
+
+    return let(trim(text), pieces)
 
 
 def percentile(sorted_values: Column, p: int) -> Column:

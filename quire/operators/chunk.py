@@ -37,8 +37,8 @@ def units(blocks: Column, sizes: Sizes) -> Column:
     def of(b: Column) -> Column:
         title, level = T.trim(b["text"]), F.greatest(b["level"], F.lit(1))
         heading = F.when(title != "", F.array(unit(F.concat(F.repeat(F.lit("#"), level), F.lit(" "), title), F.lit(1), level)))
-        text = T.trim(F.coalesce(block_text(b, 1, False), F.lit("")))
-        pieces = F.when(text != "", F.transform(T.split_long(text, sizes.target, sizes.most), lambda p, k: unit(p, F.when(k == 0, 1).otherwise(0), F.lit(0))))
+        cut = lambda text: F.when(text != "", F.transform(T.split_long(text, sizes.target, sizes.most), lambda p, k: unit(p, F.when(k == 0, 1).otherwise(0), F.lit(0))))
+        pieces = T.let(T.trim(F.coalesce(block_text(b, 1, False), F.lit(""))), cut)
         return F.coalesce(F.when(b["kind"] == "heading", heading).otherwise(pieces), F.array().cast(UNIT))
 
     return F.flatten(F.transform(blocks, of))
