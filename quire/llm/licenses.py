@@ -59,6 +59,7 @@ WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 NONE, UNKNOWN = "none", "unknown"
 DIMENSIONS = 1 << 13
 NEGATIVES = 2_000
+BACKGROUND_CHARS = 2_000
 
 
 def words_of(paragraph: str) -> list[str]:
@@ -160,11 +161,14 @@ def scan_text(text: str, model: Classifier, least: float, cover: float) -> list[
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, cover: float = 0.6, negatives: int = NEGATIVES) -> DataFrame:
     """id_col and licences, an array of (family, start, end, probability) in order of place, for every row.
 
-    At most `negatives` documents, those of the smallest id hashes, give background paragraphs for training. Null and
+    About `negatives` documents, drawn by the hash of their ids, give background paragraphs for training (the first two of each). Null and
     empty texts hold no licence. Repeated rows keep their rows; no rows give no rows. Other columns are ignored.
     """
-    drawn = docs.select(text_bytes(F.substring(docs[text_col], 1, 2000)).alias("t"), F.xxhash64(docs[id_col]).alias("h")).orderBy("h", "t").limit(negatives).collect()
-    model = docs.sparkSession.sparkContext.broadcast(fit([p for r in drawn for p in bytes(r["t"]).decode().split("\n")[:2]]))
+    total = docs.count()
+    share = min(1.0, negatives / max(1, total))
+    drawn = docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < int(share * 1_000_000))
+    texts = drawn.select(text_bytes(F.substring(F.col(text_col), 1, BACKGROUND_CHARS)).alias("t")).orderBy("t").collect()
+    model = docs.sparkSession.sparkContext.broadcast(fit([p for r in texts for p in bytes(r["t"]).decode().split("\n")[:2]]))
     kind = docs.schema[id_col].dataType.simpleString()
     spans = pa.list_(pa.struct([("family", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())]))
 
