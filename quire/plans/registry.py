@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quire.functions import markup
 from quire.functions import text as T
 from quire.operators import blocks, chunk, classify, diagnostics, render, retrieval
-from quire.sources import epub
+from quire.sources import epub, files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,13 +37,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores where a scan gives fewer partitions than there are, as a single small file does."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
 
 
 def document_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A normalised main chapter a document; books are sources."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     raw = docs.select(
         F.col("source").alias("book"),
         F.format_string("doc-%d", "doc_id").alias("id"),
@@ -143,7 +149,7 @@ CHUNKS = f"""
     from raw_counts left join counted using (doc_id)
 """)
 def document_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     raw = F.split("text", "\n", -1)
     clean = docs.select("doc_id", "lang", F.size(raw).cast("long").alias("n_lines"), blocks.drop_empty(F.transform(blocks.paragraphs(raw), blocks.normalize_block)).alias("blocks"))
     clean = clean.withColumn("kept", blocks.drop_repeats(F.col("blocks")))
@@ -154,7 +160,7 @@ def document_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {KEPT_LINES} select doc_id, pos, line from clean")
 def normalize_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines_of(table(spark, sf_dir, "documents")).select("doc_id", F.col("pos").cast("long").alias("pos"), T.normalize_paragraph(F.col("line")).alias("line"))
+    return lines_of(spread(table(spark, sf_dir, "documents"))).select("doc_id", F.col("pos").cast("long").alias("pos"), T.normalize_paragraph(F.col("line")).alias("line"))
 
 
 @query(f"with {KEPT_LINES} select doc_id, pos, line from kept")
@@ -182,7 +188,7 @@ def dedupe_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def merge_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines cut in the middle, as by a page end, and put together where they go on."""
-    lines = lines_of(table(spark, sf_dir, "documents"))
+    lines = lines_of(spread(table(spark, sf_dir, "documents")))
     half = F.floor(F.length("line") / 2).cast("int")
     cut = F.array(F.expr("substring(line, 1, length(line) div 2)"), F.substring("line", half + 1, F.length("line")))
     halves = lines.select("doc_id", F.col("pos").alias("at"), F.posexplode(cut).alias("h", "line")).select("doc_id", (F.col("at") * 2 + F.col("h")).cast("long").alias("pos"), "line")
@@ -212,7 +218,7 @@ def toc_residue_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def trim_leading_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapters that begin with contents entries; every fifth is a table of contents by its title."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     texts = F.transform(F.split("text", "\n", -1), lambda x, k: F.when(k < F.col("doc_id") % 4, F.concat(F.lit("Part "), k.cast("string"), F.lit(" .... "), k.cast("string"))).otherwise(T.normalize_paragraph(x)))
     title = F.when(F.col("doc_id") % 5 == 0, "Table  of Contents").otherwise("One")
     trimmed = blocks.trim_residue(docs.select("doc_id", title.alias("title"), F.lit("").alias("classify_reason"), blocks.paragraphs(texts).alias("blocks")))
@@ -280,19 +286,19 @@ def guide_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     union all select doc_id, 'fr' as lang, text from documents where lang = 'fr')""")
 def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in French stand for a dense script."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return docs.select("doc_id", "lang", T.estimate_tokens(F.col("text"), F.when(F.col("lang") == "fr", " ZH-cn").otherwise(F.col("lang"))).cast("long").alias("n_tokens"))
 
 
 @query(f"select doc_id, unnest(s) as sentence, generate_subscripts(s, 1) as nth from (select doc_id, {sql_sentences('text')} as s from documents)")
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return docs.select("doc_id", F.posexplode(T.split_sentences(F.col("text"))).alias("nth", "sentence")).select("doc_id", "sentence", (F.col("nth") + 1).cast("long").alias("nth"))
 
 
 @query(f"select doc_id, unnest(p) as piece, generate_subscripts(p, 1) as nth from (select doc_id, {sql_pieces('t')} as p from (select doc_id, {sql_trim('text')} as t from documents))")
 def chunk_long_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return docs.select("doc_id", F.posexplode(T.split_long(F.col("text"))).alias("nth", "piece")).select("doc_id", "piece", (F.col("nth") + 1).cast("long").alias("nth"))
 
 
@@ -346,7 +352,7 @@ def even_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     select source as book, string_agg(left({sql_trim("text")}, 100), '|' order by doc_id) as fingerprints
     from (select distinct source, doc_id, text from r left join i on true where n <= 10 or spot = i * (n - 1) // 9) group by source""")
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("sequence"), "text")
+    docs = spread(table(spark, sf_dir, "documents")).select(F.col("source").alias("book"), F.col("doc_id").alias("sequence"), "text")
     return diagnostics.book_fingerprints(docs).select("book", F.array_join("fingerprints", "|").alias("fingerprints"))
 
 
@@ -356,21 +362,21 @@ _TERMS = "regexp_extract_all(lower(text), '[a-z0-9]+|\\p{L}|\\p{Nd}')"
 @query(f"select doc_id, len({_TERMS}) as n_terms, md5(array_to_string({_TERMS}, ' ')) as terms_md5 from documents")
 def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = T.tokenize(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(terms).cast("long").alias("n_terms"), F.md5(F.array_join(terms, " ")).alias("terms_md5"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.size(terms).cast("long").alias("n_terms"), F.md5(F.array_join(terms, " ")).alias("terms_md5"))
 
 
 @query(f"select source as book, term, count(*) as df from (select source, unnest(list_distinct({_TERMS})) as term from documents) group by all")
 def doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.document_frequencies(table(spark, sf_dir, "documents").select(F.col("source").alias("book"), "text"))
+    return retrieval.document_frequencies(spread(table(spark, sf_dir, "documents")).select(F.col("source").alias("book"), "text"))
 
 
 def book_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("id"), "text")
+    return spread(table(spark, sf_dir, "documents")).select(F.col("source").alias("book"), F.col("doc_id").alias("id"), "text")
 
 
 def contained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, book, query, expected: benchmark items in the books whose documents hold them word for word."""
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    docs, items = spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")
     found = retrieval.containing(docs.select("doc_id", "source", "text"), items.where("text != ''"), "text", "item_id", "text").join(items, "item_id")
     ids = F.concat_ws(":", F.col("item_id").cast("string"), "source")
     return found.groupBy(ids.alias("query_id"), F.col("source").alias("book")).agg(F.min("text").alias("query"), F.sort_array(F.collect_set("doc_id")).alias("expected"))
@@ -464,7 +470,7 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
             for r in frame.itertuples():
                 yield pd.DataFrame([(r.page_id, k, *x) for k, x in enumerate(markup.links_of("page.html", r.html))], columns=["page_id", "k", "href", "fragment", "title"])
 
-    return table(spark, sf_dir, "pages").select("page_id", "html").mapInPandas(run, "page_id long, k int, href string, fragment string, title string")
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html")).mapInPandas(run, "page_id long, k int, href string, fragment string, title string")
 
 
 _LINKS = """l as (select page_id, unnest(regexp_extract_all(html, '<a href="[^"]*">[^<]+</a>')) as a, generate_subscripts(regexp_extract_all(html, '<a href="[^"]*">[^<]+</a>'), 1) - 1 as k from pages),
@@ -495,7 +501,7 @@ def book_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chapters of pages, each a document of one spine."""
-    documents = table(spark, sf_dir, "pages").select(
+    documents = spread(table(spark, sf_dir, "pages")).select(
         F.lit("pages").alias("book"),
         F.col("page_id").cast("int").alias("spine_pos"),
         F.format_string("%d.html", "page_id").alias("href"),
@@ -531,3 +537,62 @@ def regression_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {KEPT_LINES} select doc_id, '# Document ' || doc_id || chr(10) || chr(10) || string_agg(line, chr(10) || chr(10) order by pos) || chr(10) as markdown from kept group by doc_id""")
 def document_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.render_chapters(document_chapters(spark, sf_dir)).select(F.regexp_extract("id", "([0-9]+)", 1).cast("long").alias("doc_id"), "markdown")
+
+
+def order_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages of orders: an item a line (ids repeat), a spine of ids that may be unknown."""
+    item = F.struct((F.col("l_suppkey") % 5).cast("string").alias("id"), F.format_string("f%d.html", "l_linenumber").alias("href"), F.lit("").alias("media_type"), F.lit("").alias("properties"))
+    place = F.struct("l_linenumber", item.alias("item"), (F.col("l_partkey") % 7).cast("string").alias("ref"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("book")).agg(F.sort_array(F.collect_list(place)).alias("lines"))
+    return lines.select("book", F.transform("lines", lambda x: x["item"]).alias("manifest"), F.transform("lines", lambda x: x["ref"]).alias("spine"))
+
+
+_PACKAGES = """m as (select l_orderkey as book, (l_suppkey % 5)::varchar as id, arg_max('f' || l_linenumber || '.html', {'n': l_linenumber, 'i': (l_suppkey % 5)::varchar, 'r': (l_partkey % 7)::varchar}) as href from lineitem group by all),
+    s as (select l_orderkey as book, (l_partkey % 7)::varchar as id, row_number() over (partition by l_orderkey order by l_linenumber, (l_suppkey % 5)::varchar, (l_partkey % 7)::varchar) - 1 as spine_pos from lineitem)"""
+
+
+@query(f"with {_PACKAGES} select book, id, href from m")
+def manifest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return epub.manifest(order_packages(spark, sf_dir)).select("book", "id", "href")
+
+
+@query(f"with {_PACKAGES} select book, spine_pos, href from s join m using (book, id)")
+def spine_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    package = order_packages(spark, sf_dir)
+    joined = epub.spine(package).join(epub.manifest(package), ["book", "id"])
+    return joined.select("book", F.col("spine_pos").cast("long").alias("spine_pos"), "href")
+
+
+@query("""select page_id, lower(trim(m)) in ('application/xhtml+xml', 'text/html') or regexp_matches(lower(h), '\\.(xhtml|html|htm)$') as is_document
+    from (select page_id, (['', ' Text/HTML', 'image/png'])[page_id % 3 + 1] as m, url || (['', '.HTM', '.xhtml', '.css'])[page_id % 4 + 1] as h from pages)""")
+def document_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), (F.col("page_id") % len(values)).cast("int"))
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", epub.is_document(pick(["", " Text/HTML", "image/png"]), F.concat("url", pick(["", ".HTM", ".xhtml", ".css"]))).alias("is_document"))
+
+
+@query(f"""select c_custkey, lower({sql_trim("regexp_replace('  ' || c_name || chr(9) || ' OF ' || c_mktsegment || ' ', '" + WS + "+', ' ', 'g')")}) as title,
+        {sql_trim("translate(c_name || '/' || c_mktsegment || ':*?', '/\\:*?\"<>|', '_________')")} as safe, '^' || c_name as note, c_name as stem, c_mktsegment as fragment, c_mktsegment as first, left(c_name, 5) as beginning
+    from customer""")
+def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    name, segment = F.col("c_name"), F.col("c_mktsegment")
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey",
+        T.normalize_title(text("  ", name, "\t OF ", segment, " ")).alias("title"),
+        T.safe_name(text(name, "/", segment, ":*?")).alias("safe"),
+        T.clean_note(text("\u21a9^^", name)).alias("note"),
+        T.without_extension(text(name, ".epub")).alias("stem"),
+        T.fragment(text("a.html# ", segment)).alias("fragment"),
+        T.first_non_empty(F.array(F.lit(" "), F.lit(""), text(" ", segment), name)).alias("first"),
+        T.fingerprint(text("\n ", name), 5).alias("beginning"),
+    )
+
+
+@query(f"""with {CHUNKS}
+    select source as book, 'doc-' || doc_id || '-' || lpad(nth::varchar, greatest(3, length(nth::varchar))::int, '0') as id, text, length(text) as size from chunk_rows""")
+def chunk_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks as JSON lines without empty fields, and read again."""
+    lines = files.chunk_lines(document_chunks(spark, sf_dir))
+    back = F.from_json("line", files.CHUNK)
+    return lines.select("book", back.alias("c")).select("book", "c.id", "c.text", F.col("c.characterSize").cast("long").alias("size"))
