@@ -27,8 +27,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_WRITTEN: list[str] = []
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/quire-{what}-{uuid.uuid4().hex}"
+    _WRITTEN.append(f"{shared_dir(spark)}/quire-{what}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
+def clear_written(spark: SparkSession) -> None:
+    """Removes every table that this process has written to the shared folder; results still to be read go with them."""
+    while _WRITTEN:
+        delete_path(spark, _WRITTEN.pop())
 
 
 def materialise(df: DataFrame, what: str) -> DataFrame:
