@@ -83,6 +83,12 @@ def text_bytes(column: Column | str) -> Column:
     return F.coalesce(c.cast("string"), F.lit("")).cast("binary")
 
 
+def draw(rows: DataFrame, keys: list[str], expected: int, total: int) -> DataFrame:
+    """About `expected` of `total` rows, by the hash of their keys: the same rows each time, whatever their order."""
+    share = min(1.0, expected / max(1, total))
+    return rows.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 40)) < int(share * (1 << 40)))
+
+
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """Component of each node that has an edge: columns node, root (the smallest node reachable).
 

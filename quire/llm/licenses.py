@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import text_bytes
+from quire.llm.common import draw, text_bytes
 
 # Short passages by which public licences are cited or open, by family.
 TEMPLATES = {
@@ -164,9 +164,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     About `negatives` documents, drawn by the hash of their ids, give background paragraphs for training (the first two of each). Null and
     empty texts hold no licence. Repeated rows keep their rows; no rows give no rows. Other columns are ignored.
     """
-    total = docs.count()
-    share = min(1.0, negatives / max(1, total))
-    drawn = docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < int(share * 1_000_000))
+    drawn = draw(docs, [id_col], negatives, docs.count())
     texts = drawn.select(text_bytes(F.substring(F.col(text_col), 1, BACKGROUND_CHARS)).alias("t")).orderBy("t").collect()
     model = docs.sparkSession.sparkContext.broadcast(fit([p for r in texts for p in bytes(r["t"]).decode().split("\n")[:2]]))
     kind = docs.schema[id_col].dataType.simpleString()

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import discard, free_shuffles, materialise
+from quire.llm.common import discard, draw, free_shuffles, materialise
 
 SAMPLE = 20_000
 GROUP = 256
@@ -129,8 +129,7 @@ def _top(sims: np.ndarray, k: int) -> np.ndarray:
 
 def _leaf_lists(nodes: DataFrame, total: int, degree: int, leaf: int, trees: int) -> DataFrame:
     spark = nodes.sparkSession
-    share = min(1.0, SAMPLE / max(1, total))
-    drawn = nodes.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < int(share * 1_000_000)).orderBy("node").select("h").toArrow()
+    drawn = draw(nodes, ["node"], SAMPLE, total).orderBy("node").select("h").toArrow()
     sample = _matrix(drawn["h"].combine_chunks(), "<f2").astype(np.float32) if drawn.num_rows else np.zeros((0, 1), np.float32)
     planted = [_plant(sample, total, leaf, 17 + t) for t in range(trees if total > leaf else 1)]
     forest = spark.sparkContext.broadcast(planted)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import text_bytes
+from quire.llm.common import draw, text_bytes
 
 GOOD, BAD, NONE = 1, 0, 2
 SAMPLE_DOCS = 20_000
@@ -188,8 +188,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
     counts = {r["pattern"]: r["count"] for r in votes.groupBy("pattern").count().collect()}
     total = sum(counts.values())
     model = LabelModel.fit(counts)
-    share = min(1.0, sample_docs / max(1, total))
-    drawn = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1_000_000)) < int(share * 1_000_000))
+    drawn = draw(docs, [id_col, text_col], sample_docs, total)
     sample = _read_all(drawn, text_col, "pattern int, at array<int>, v array<float>", lambda p, at, x: (np.int32(p), at.astype(np.int32), x.astype(np.float32)), [])
     rows = sample.select("pattern", "at", "v").toArrow()
     split = lambda c, kind: [a.astype(kind) for a in np.split(c.combine_chunks().values.to_numpy(), np.asarray(c.combine_chunks().offsets)[1:-1])]

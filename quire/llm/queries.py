@@ -76,7 +76,8 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_files.encode_and_read(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
-    return found.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+    doc_id = F.when(F.col("key") > token_files.NULL_KEY, F.col("key"))
+    return found.select(doc_id.alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_url_filter, op4_nearest_neighbours, op5_licenses, op6_quality, op7_chat_rotation, op8_sentencepiece, op9_simhash_near_dedup, op10_token_files)}

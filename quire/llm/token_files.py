@@ -30,6 +30,7 @@ from quire.llm.common import fresh_path, local_or_uri, materialise, text_bytes
 MAGIC = b"QTOK0001"
 GAMMA = 2.0
 LAST_LEVEL = 64
+NULL_KEY = -(2**63)
 FIXED = np.dtype([("fingerprint", "<u8"), ("key", "<i8"), ("offset", "<u8"), ("n_ids", "<u8"), ("row", "<u4"), ("copies", "<u4")])
 CACHE_PARTS = 250_000
 CACHE_PIECES = 600_000
@@ -208,7 +209,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     big = vocabulary_size(tokenizer) > 2**16 or (end_id or 0) >= 2**16
     kind = "<u4" if big else "<u2"
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = F.coalesce(docs[id_col].cast("long"), F.lit(-(2**63)))
+    key = F.coalesce(docs[id_col].cast("long"), F.lit(NULL_KEY))
     rows = docs.select(key.alias("key"), text_bytes(docs[text_col]).alias("text")).withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange(n, "key", "tie").sortWithinPartitions("key", "tie", "text").select("key", "text")
 
