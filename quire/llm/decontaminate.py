@@ -25,6 +25,8 @@ from quire.llm.common import text_bytes
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 SHARD_WORDS = 100_000
+#: Documents whose words are held at once.
+SLICE = 200
 
 
 def words(text: bytes) -> list[bytes]:
@@ -176,37 +178,46 @@ def _shards(items: DataFrame, id_col: str, text_col: str, window: int, shard_wor
         yield Automaton.build(shard, window)
 
 
-def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, shard_words: int = SHARD_WORDS, extra: list[str] | None = None) -> DataFrame:
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _matched(shards: list, texts: list[list[bytes]]) -> tuple[list[list[tuple[int, int]]], list[set[str]]]:
+    """Hit spans and item ids of each text, over all shards."""
+    spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+    ids: list[set[str]] = [set() for _ in texts]
+    for shard in shards:
+        for k, text in enumerate(texts):
+            more, which = shard.value.matches(text)
+            spans[k] = _union(spans[k], more)
+            ids[k] |= which
+    return spans, ids
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        yield from (whole.slice(x, SLICE) for x in range(0, whole.num_rows, SLICE))
+
+
+def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, shard_words: int = SHARD_WORDS) -> DataFrame:
     """For every document: id_col, n_words, hits (array of word spans) and item_ids (sorted strings).
 
     Null and empty texts have no words and no hits; items without words, or with a null id, match nothing; items that
     repeat count once by id. Repeated documents keep their rows. Without documents there are no rows, without items no
-    hits. `extra` names columns of docs to hand through.
+    hits. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    keep = [c for c in extra or [] if c != id_col]
-    base = docs.select(F.col(id_col).alias("id"), text_bytes(docs[text_col]).alias("t"), F.struct(*[F.col(c) for c in keep] or [F.lit(None).cast("string").alias("none")]).alias("x"))
-    shards = [spark.sparkContext.broadcast(s) for s in _shards(items, item_id, item_text, window, shard_words)]
-    schema = base.select("id", F.col("x")).schema.simpleString()[len("struct<") : -1]
-    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    shards = [docs.sparkSession.sparkContext.broadcast(s) for s in _shards(items, item_id, item_text, window, shard_words)]
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             texts = [words(t.as_py()) for t in batch.column(1)]
-            spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-            ids: list[set[str]] = [set() for _ in texts]
-            for shard in shards:
-                for k, text in enumerate(texts):
-                    more, which = shard.value.matches(text)
-                    spans[k] = _union(spans[k], more)
-                    ids[k] |= which
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(map(len, texts), pa.int64()), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], spans_type), pa.array([sorted(i) for i in ids], pa.list_(pa.string()))],
-                ["id", "x", "n_words", "hits", "item_ids"],
-            )
-
-    out = base.mapInArrow(run, f"{schema}, n_words long, hits array<struct<start:long,end:long>>, item_ids array<string>")
-    return out.select(F.col("id").alias(id_col), *[F.col("x")[c].alias(c) for c in keep], "n_words", "hits", "item_ids")
+            spans, ids = _matched(shards, texts)
+            told = [[{"start": a, "end": b} for a, b in s] for s in spans]
+            columns = [batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(told, SPANS), pa.array([sorted(i) for i in ids], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n_words", "hits", "item_ids"])
+
+    out = docs.select(F.col(id_col).alias("id"), text_bytes(docs[text_col]).alias("t")).mapInArrow(run, f"id {kind}, n_words long, hits array<struct<start:long,end:long>>, item_ids array<string>")
+    return out.select(F.col("id").alias(id_col), "n_words", "hits", "item_ids")
 
 
 def _union(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -221,32 +232,35 @@ def _union(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int
     return out
 
 
-def remove(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, max_coverage: float = 0.5, shard_words: int = SHARD_WORDS) -> DataFrame:
+def _without(text: str, spans: list[tuple[int, int]]) -> str:
+    raw = text.encode()
+    at = [m.span() for m in WORD.finditer(raw)]
+    parts, last = [], 0
+    for start, end in spans:
+        parts.append(raw[last : at[start][0]])
+        last = at[end - 1][1]
+    return b"".join([*parts, raw[last:]]).decode()
+
+
+def remove(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, max_coverage: float = 0.5, shard_words: int = SHARD_WORDS) -> DataFrame:
     """docs without what they share with the items: hit words are cut, and documents hit on more than max_coverage go.
 
     The bytes from the first to the last word of each hit span go; the rest of the text stays as it is. Texts without
     hits, null ones included, are handed on unchanged. Columns and their order stay.
     """
-    found = find(docs, items, id_col, text_col, item_id, item_text, window, shard_words, extra=docs.columns)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for text, spans in zip(batch.column("__text").to_pylist(), batch.column("__hits").to_pylist(), strict=True):
-                if spans:
-                    raw = text.encode()
-                    at = [m.span() for m in WORD.finditer(raw)]
-                    parts, last = [], 0
-                    for s in spans:
-                        parts.append(raw[last : at[s["start"]][0]])
-                        last = at[s["end"] - 1][1]
-                    text = b"".join([*parts, raw[last:]]).decode()
-                texts.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "__text" else batch.column(n) for n in batch.schema.names if n != "__hits"], [n for n in batch.schema.names if n != "__hits"])
-
-    covered = F.aggregate("hits", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    stays = found.where(covered <= F.col("n_words") * max_coverage)
-    names = [f"c{k}" if c != text_col else "__text" for k, c in enumerate(docs.columns)]
-    ready = stays.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)], F.col("hits").alias("__hits"))
-    schema = ready.drop("__hits").schema
-    return ready.mapInArrow(cut, schema).toDF(*docs.columns)
+    names = docs.columns
+    cols = [f"c{k}" for k in range(len(names))]
+    plain, body = docs.toDF(*cols), names.index(text_col)
+    shards = [docs.sparkSession.sparkContext.broadcast(s) for s in _shards(items, item_id, item_text, window, shard_words)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            told = batch.column(body).to_pylist()
+            texts = [words((t or "").encode()) for t in told]
+            spans, _ = _matched(shards, texts)
+            stays = [sum(b - a for a, b in s) <= len(t) * max_coverage for s, t in zip(spans, texts, strict=True)]
+            kept = pa.array([_without(t, s) if s else t for t, s in zip(told, spans, strict=True)], pa.string())
+            columns = [kept if k == body else batch.column(k) for k in range(len(cols))]
+            yield pa.RecordBatch.from_arrays(columns, cols).filter(pa.array(stays, pa.bool_()))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
