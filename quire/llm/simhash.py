@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import ASCII_LOWER, connected_components, materialise, text_bytes
+from quire.llm.common import ASCII_LOWER, connected_components, discard, materialise, text_bytes
 
 LOW_BITS = 0x5555555555555555
 SLAB = 4096
@@ -213,6 +213,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 BANDS, BAND_ROWS = 14, 4
 PIECE = 1024
 SLACK = 0.11
+BINS = np.uint64(512)
 
 
 def _least(slabs: list[np.ndarray]) -> np.ndarray:
@@ -226,6 +227,17 @@ def _least(slabs: list[np.ndarray]) -> np.ndarray:
     return out.astype("<u4")
 
 
+def _binned(slabs: list[np.ndarray]) -> tuple[int, bytes, int]:
+    """How many different hashes there are, their counts by BINS bins (up to 255), and what is counted beyond that.
+
+    Two sets share at most the sum of the lesser counts and the lesser rest.
+    """
+    different = np.unique(np.concatenate(slabs))
+    counts = np.bincount((different % BINS).astype(np.int64), minlength=int(BINS))
+    bins = np.minimum(counts, 255)
+    return len(different), bins.astype(np.uint8).tobytes(), int((counts - bins).sum())
+
+
 def _likely(sigs: np.ndarray, least: float) -> list[tuple[int, int]]:
     """Edges of a forest that spans what is likely to be similar, by the most likely edges (Prim's algorithm)."""
     n, edges = len(sigs), []
@@ -243,30 +255,38 @@ def _likely(sigs: np.ndarray, least: float) -> list[tuple[int, int]]:
     return edges
 
 
-def similar_links(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, seed: int = 42) -> DataFrame:
-    """Columns a, b: ids of rows whose shingle sets have a Jaccard similarity of at least `similarity`, enough to connect them.
+def similar_links(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, seed: int = 42, known: DataFrame | None = None) -> DataFrame:
+    """Columns a, b: links that connect the ids of rows whose shingle sets have a Jaccard similarity of at least `similarity`.
 
-    Equal texts are linked as such. Of the different ones, those that share one of 14 bands of 4 minimum hashes meet;
-    each bucket proposes the edges of a forest by estimated similarity, in pieces of bounded size that share the bucket's
-    first member, and each edge is then checked on the texts themselves.
+    Equal texts are linked as such. Of the different ones, those that share one of 14 bands of 4 minimum hashes meet. In
+    the first round each bucket proposes the edges of a forest by estimated similarity, in pieces of bounded size that
+    share the bucket's first member; proposed pairs are checked on the texts themselves. What that links, with the links
+    of `known` (columns a, b), makes components. In the second round every pair of a bucket whose ends are still in
+    different components is checked in the same way, whatever its estimate or piece, unless the sizes of the two sets or
+    their counts by bin prove that it falls short: the first round only saves checks that could join nothing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sigs = [], []
+            ids, sigs, sizes, binned, overs = [], [], [], [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 slabs = list(shingle_hashes(t.as_py(), shingle, seed))
                 if slabs:
                     ids.append(i)
                     sigs.append(_least(slabs).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sigs, pa.binary())], ["id", "sig"])
+                    n, bins, over = _binned(slabs)
+                    sizes.append(n)
+                    binned.append(bins)
+                    overs.append(over)
+            columns = [pa.array(x, kind) for x, kind in ((ids, pa.int64()), (sigs, pa.binary()), (sizes, pa.int64()), (binned, pa.binary()), (overs, pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "sig", "n", "bins", "over"])
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.md5(text_bytes(docs[text_col])).alias("same"))
     classes = materialise(rows.groupBy("same").agg(F.min("id").alias("rep")), "texts")
     copies = rows.join(classes, "same").where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(docs[text_col]).alias("t"))
     texts = texts.withColumn("same", F.md5("t")).join(classes.withColumnRenamed("rep", "id"), ["id", "same"], "left_semi").select("id", "t")
-    signed = materialise(texts.mapInArrow(run, "id long, sig binary"), "signatures")
+    signed = materialise(texts.mapInArrow(run, "id long, sig binary, n long, bins binary, over long"), "signatures")
 
     bands = F.array(*[F.xxhash64(F.lit(k), F.substring("sig", k * BAND_ROWS * 4 + 1, BAND_ROWS * 4)) for k in range(BANDS)])
 
@@ -294,6 +314,30 @@ def similar_links(docs: DataFrame, id_col: str, text_col: str, shingle: int, sim
     met = signed.select(F.explode(bands).alias("band"), "id", "sig").repartition("band").sortWithinPartitions("band", "sig", "id")
     edges = materialise(met.mapInArrow(propose, "a long, b long").distinct(), "candidates")
 
+    def still_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def pairs() -> Iterator[pa.RecordBatch]:
+            ids, root, n, over = (np.array([r[k] for r in held], np.int64) for k in range(4))
+            bins = np.frombuffer(b"".join([r[4] for r in held]), np.uint8).reshape(len(held), -1)
+            for x in range(len(held) - 1):
+                y = np.arange(x + 1, np.searchsorted(n * similarity, n[x], "right"))  # sorted by size
+                y = y[root[y] != root[x]]
+                for z in (y[k : k + SLAB] for k in range(0, len(y), SLAB)):
+                    most = np.minimum(np.minimum(bins[z], bins[x]).sum(axis=1, dtype=np.int64) + np.minimum(over[z], over[x]), n[x])
+                    z = z[most >= similarity * (n[z] + n[x] - most)]
+                    if len(z):
+                        yield pa.RecordBatch.from_arrays([pa.array(f(ids[z], ids[x]), pa.int64()) for f in (np.minimum, np.maximum)], ["a", "b"])
+
+        for batch in batches:
+            for band, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if band != at:
+                    yield from pairs() if held else ()
+                    at, held = band, []
+                held.append(row)
+        if held:
+            yield from pairs()
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[bytes, set[int]] = (b"", set())
 
@@ -310,9 +354,24 @@ def similar_links(docs: DataFrame, id_col: str, text_col: str, shingle: int, sim
                 keep.append(common >= similarity * (len(sa) + len(sb) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    used = materialise(texts.join(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct(), "id"), "candidate-texts")
-    pairs = edges.join(used.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(used.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
-    return copies.unionByName(pairs.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long"))
+    def checked(edges: DataFrame) -> DataFrame:
+        used = materialise(texts.join(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct(), "id"), "candidate-texts")
+        pairs = edges.join(used.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(used.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
+        out = materialise(pairs.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long"), "similar")
+        discard(used)
+        return out
+
+    links = copies.unionByName(checked(edges))
+    links = links.unionByName(known.select("a", "b")) if known is not None else links
+    roots = materialise(connected_components(links, "a", "b"), "roots")
+    members = signed.select(F.explode(bands).alias("band"), "id", "n").join(roots.withColumnRenamed("node", "id"), "id", "left").select("band", "id", "n", F.coalesce("root", "id").alias("root"))
+    mixed = members.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
+    apart = materialise(members.join(mixed, "band", "left_semi"), "apart")
+    apart = apart.join(signed.select("id", "bins", "over"), "id").select("band", "id", "root", "n", "over", "bins")
+    left = apart.repartition("band").sortWithinPartitions("band", "n", "id").mapInArrow(still_apart, "a long, b long")
+    left = materialise(left.distinct().join(edges, ["a", "b"], "left_anti"), "candidates")
+    links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return links if left.isEmpty() else links.unionByName(checked(left))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
@@ -324,7 +383,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     id stay. Columns and their order stay.
     """
     found = materialise(components(docs, id_col, text_col, shingle, radius).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("a"), F.col("component_id").cast("long").alias("b")), "near")
-    links = found.where("a != b").unionByName(similar_links(docs, id_col, text_col, shingle, similarity))
+    links = similar_links(docs, id_col, text_col, shingle, similarity, known=found.where("a != b"))
     gone = connected_components(links, "a", "b").where("node != root").select(F.col("node").alias("__gone"))
     names = docs.columns
     plain = docs.toDF(*[f"c{k}" for k in range(len(names))])

@@ -390,6 +390,40 @@ def test_keep_one(spark, odd):
     assert simhash.keep_one(odd.limit(0)).count() == 0
 
 
+def alike_groups(sets: dict[int, set[str]]) -> set[frozenset[int]]:
+    """Groups of ids that pairs of at least 0.8 connect."""
+    group = {i: {i} for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and group[a] is not group[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                group[a] |= group[b]
+                for i in group[b]:
+                    group[i] = group[a]
+    return {frozenset(g) for g in group.values()}
+
+
+def linked_groups(spark, sets: dict[int, set[str]]) -> set[frozenset[int]]:
+    docs = spark.createDataFrame([(i, " ".join(sorted(s))) for i, s in sets.items()], "doc_id long, text string")
+    links = simhash.similar_links(docs, "doc_id", "text", 1, 0.8)
+    root = {i: i for i in sets} | {r.node: r.root for r in simhash.connected_components(links, "a", "b").collect()}
+    return {frozenset(i for i in sets if root[i] == r) for r in root.values()}
+
+
+def signature(words: set[str]) -> np.ndarray:
+    return simhash._least(list(simhash.shingle_hashes(" ".join(sorted(words)).encode(), 1))).reshape(simhash.BANDS, -1)
+
+
+def test_similar_pairs_of_low_estimate(spark):
+    sets, k = {}, 0
+    while len(sets) < 10:  # pairs at 0.8 that share a band, of which less than 39 hashes of 56 are equal
+        a, b = ({f"c{k}x{x}" for x in range(160)} | {f"{s}{k}x{x}" for x in range(20)} for s in "ab")
+        same = signature(a) == signature(b)
+        if same.all(axis=1).any() and same.sum() < 39:
+            sets |= {len(sets): a, len(sets) + 1: b}
+        k += 1
+    assert linked_groups(spark, sets) == alike_groups(sets) == {frozenset((x, x + 1)) for x in range(0, 10, 2)}
+
+
 # 10: token files
 
 WORD_BPE = queries.tokenizer_path("word_bpe_49k.json")
