@@ -424,6 +424,19 @@ def test_similar_pairs_of_low_estimate(spark):
     assert linked_groups(spark, sets) == alike_groups(sets) == {frozenset((x, x + 1)) for x in range(0, 10, 2)}
 
 
+def test_similar_pairs_outside_the_forest(spark):
+    sets, k = {}, 0
+    while len(sets) < 6:  # b and c are similar; a is similar to neither, is estimated nearer to both, and is in all their buckets
+        core, k = [f"k{k}x{x}" for x in range(160)], k + 1
+        b, c = ({*core, *(f"{s}{k}x{x}" for x in range(20))} for s in "bc")
+        a = {*core[10:], *(f"a{k}x{x}" for x in range(20))}
+        ab, ac, bc = (signature(x) == signature(y) for x, y in ((a, b), (a, c), (b, c)))
+        if min(ab.sum(), ac.sum()) > bc.sum() >= 39 and bc.all(axis=1).any() and (ab & ac).all(axis=1)[bc.all(axis=1)].all():
+            sets |= {len(sets): a, len(sets) + 1: b, len(sets) + 2: c}
+    got = alike_groups(sets)
+    assert linked_groups(spark, sets) == got and len(got) == 4
+
+
 # 10: token files
 
 WORD_BPE = queries.tokenizer_path("word_bpe_49k.json")
