@@ -2,12 +2,12 @@
 
 The vocabulary is that of a byte-pair SentencePiece model with byte fallback. Merges run from an agenda: the best
 scored adjacent pair that is a piece, the leftmost of equals, is taken next. With dropout, a candidate is skipped when a keyed
-hash of the seed, the variant and the part, at the candidate's place and length, falls under the rate. The hash replaces a random
+hash of the seed, the document, the candidate's place in it and its piece falls under the rate. The hash replaces a random
 draw, so a lost task that runs again gives the same ids.
 
 No piece joins certain pairs of adjacent characters (a space after anything else, or a Latin letter and anything else),
-so a text falls into parts that are segmented by themselves. Each place of a part in a document picks one of `variants`
-segmentations by a keyed hash of seed, document and place; parts segmented before are looked up.
+so a text falls into parts that are segmented by themselves. What follows from a part and the candidates skipped in it
+is looked up where it was worked out before; which candidates are skipped is drawn anew at every place.
 
 Ids decode to exactly the text's bytes: characters outside the vocabulary, and the space sign itself where a text holds it,
 are spelled in byte pieces; a space stands before each text that is not empty, as the model's own encoder puts one
@@ -32,15 +32,41 @@ SPACE = "▁"
 LETTERS = "A-Za-z\u00C0-\u024F"
 PARTS = re.compile(f" *[{LETTERS}]+| *[^{LETTERS} ]+| +")
 UNITS = re.compile(" *[^ ]+| +")
-CACHE_PARTS = 560_000
+CACHE_PARTS = 320_000
 MASK = 2**64 - 1
 SHORT = 48
 NEVER = float("-inf")
 
 
-def _draw(key: int, left: int, size: int) -> int:
-    """A candidate's 15-bit draw: the bits of its part's 128-bit key that its place and length point at."""
-    return key >> (left * 29 + size * 11) % 113 & 0x7FFF
+GOLDEN = 0x9E3779B97F4A7C15
+
+
+def _draws(places: np.ndarray, pieces: np.ndarray, seed: int) -> np.ndarray:
+    """The 32-bit draws of candidates: places are keys of documents plus characters, pieces are ids."""
+    return mix(mix(places, seed) ^ (pieces.astype(np.uint64) + np.uint64(1)) * np.uint64(GOLDEN), seed) >> np.uint64(32)
+
+
+def _draw(place: int, piece: int, seed: int) -> int:
+    """One of _draws, without arrays."""
+    salt = (seed * GOLDEN + 0x632BE59BD9B4E019) & MASK  # as in mix
+    x = place
+    for more in (0, (piece + 1) * GOLDEN & MASK):
+        x = ((x ^ more) + salt) & MASK
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & MASK
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & MASK
+        x ^= x >> 31
+    return x >> 32
+
+
+class Node:
+    """A part after some skips: its ids, and the candidates taken since the last skip, in order, if no other is skipped."""
+
+    __slots__ = ("ids", "lefts", "pieces", "skips", "before", "after")
+
+    def __init__(self, ids: bytes, taken: list[tuple[int, int]], skips: tuple[tuple[int, int], ...], before: int):
+        self.ids, self.skips, self.before, self.after = ids, skips, before, None
+        lefts, pieces = zip(*taken[before:], strict=True) if len(taken) > before else ((), ())
+        self.lefts, self.pieces = array("H", lefts).tobytes(), array("I", pieces).tobytes()
 
 
 class Pieces:
@@ -68,20 +94,27 @@ class Pieces:
         latin = re.compile(f"[{LETTERS}]")
         crossing = any(bool(latin.match(a)) != bool(latin.match(b)) for a, b in self.joins if a != " ")
         self.cut = UNITS if crossing else PARTS  # PARTS where no piece joins a Latin letter and anything else
-        self.limit, self.seed, self.variants = round(rate * 2**15), seed, variants if rate else 1
+        self.limit, self.seed = round(rate * 2**32), seed
         self.most_parts = parts
-        self.parts: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-
-    def segment(self, part: str, variant: int) -> list[int]:
-        """Ids of a part by the agenda."""
-        from xxhash import xxh128_intdigest
-
+        self.parts: dict[str, Node] = {}
+        self.nodes = 0
+
+    def _skips(self, key: int, left: int, piece: int, taken: list | None, skips: tuple) -> bool:
+        """Whether a candidate is skipped: by its draw, or as `skips` says where what is taken is noted."""
+        if taken is None:
+            return self.limit > 0 and _draw((key + left) & MASK, piece, self.seed) < self.limit
+        if (left, piece) in skips:
+            return True
+        taken.append((left, piece))
+        return False
+
+    def segment(self, part: str, key: int, taken: list | None = None, skips: tuple = ()) -> list[int]:
+        """Ids of a part by the agenda; key stands for the document and the part's place in it."""
         if len(part) <= SHORT:
-            return self._segment_short(part, variant)
+            return self._segment_short(part, key, taken, skips)
         symbols = list(part)
         n = len(symbols)
-        scores, limit = self.scores, self.limit
-        key = xxh128_intdigest(part.encode(), (self.seed * 1_000_003 + variant) & MASK) if limit else 0
+        scores = self.scores
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda: list[tuple[float, int, int, str]] = []
 
@@ -99,7 +132,7 @@ class Pieces:
             _, left, right, piece = heappop(agenda)
             if after[left] != right or symbols[left] + symbols[right] != piece or not symbols[left] or not symbols[right]:
                 continue
-            if limit and _draw(key, left, len(piece)) < limit:
+            if self._skips(key, left, self.ids[piece], taken, skips):
                 continue
             symbols[left], symbols[right] = piece, ""
             after[left] = after[right]
@@ -110,12 +143,9 @@ class Pieces:
             propose(left)
         return self._ids([x for x in symbols if x])
 
-    def _segment_short(self, part: str, variant: int) -> list[int]:
+    def _segment_short(self, part: str, key: int, taken: list | None = None, skips: tuple = ()) -> list[int]:
         """The same for a short part: the agenda is a plain list of the pairs' scores."""
-        from xxhash import xxh128_intdigest
-
-        symbols, get, limit = list(part), self.scores.get, self.limit
-        key = xxh128_intdigest(part.encode(), (self.seed * 1_000_003 + variant) & MASK) if limit else 0
+        symbols, get, ids = list(part), self.scores.get, self.ids
         starts = list(range(len(symbols)))
         agenda = [get(a + b, NEVER) for a, b in zip(symbols, symbols[1:], strict=False)]
         while agenda:
@@ -124,7 +154,13 @@ class Pieces:
                 break
             k = agenda.index(best)
             piece = symbols[k] + symbols[k + 1]
-            if limit and key >> (starts[k] * 29 + len(piece) * 11) % 113 & 0x7FFF < limit:  # _draw
+            if taken is None:
+                skip = self._skips(key, starts[k], ids[piece], taken, skips)
+            else:  # _skips, without a call
+                candidate = (starts[k], ids[piece])
+                if not (skip := candidate in skips):
+                    taken.append(candidate)
+            if skip:
                 agenda[k] = NEVER
                 continue
             symbols[k] = piece
@@ -145,31 +181,67 @@ class Pieces:
                 out += [self.byte_ids[b] for b in x.encode()]
         return out
 
-    def _part(self, part: str, variant: int) -> bytes:
-        held = self.parts[variant]
-        got = held.get(part)
-        if got is None:
-            if len(part) > SHORT:  # a long run falls apart where no piece joins its characters
-                cuts = [0, *[k for k, x in enumerate(zip(part, part[1:], strict=False), 1) if x not in self.joins], len(part)]
-                if len(cuts) > 2:
-                    return b"".join([self._part(part[a:b], variant) for a, b in zip(cuts, cuts[1:], strict=False)])
-            if len(held) >= self.most_parts // self.variants:
-                held.clear()
-            got = array(self.code, self.segment(part, variant)).tobytes()
+    def _node(self, part: str, skips: tuple[tuple[int, int], ...] = (), before: int = 0) -> Node:
+        taken: list[tuple[int, int]] = []
+        ids = array(self.code, self.segment(part, 0, taken, skips)).tobytes()
+        self.nodes += 1
+        return Node(ids, taken, skips, before)
+
+    def _cut(self, text: str) -> list[str]:
+        """The parts of a text; a long run falls apart where no piece joins its characters."""
+        out = []
+        for part in self.cut.findall(" " + text):
             if len(part) <= SHORT:
-                held[part] = got
-        return got
+                out.append(part)
+            else:
+                cuts = [0, *[k for k, x in enumerate(zip(part, part[1:], strict=False), 1) if x not in self.joins], len(part)]
+                out += [part[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return out
 
     def encode(self, text: str, key: int) -> bytes:
-        """Ids as little-endian bytes; key stands for the document in the choice of variants."""
+        """Ids as little-endian bytes; key stands for the document in the draws."""
         if not text:
             return b""
-        parts, held, part = self.cut.findall(" " + text), self.parts, self._part
-        if self.variants == 1:
-            return b"".join([held[0].get(p) or part(p, 0) for p in parts])
-        places = np.arange(len(parts), dtype=np.uint64) + np.uint64((key * 0x9E3779B97F4A7C15) & MASK)
-        chosen = (mix(places, self.seed) % np.uint64(self.variants)).tolist()
-        return b"".join([held[v].get(p) or part(p, v) for p, v in zip(parts, chosen, strict=True)])
+        if self.nodes >= self.most_parts:
+            self.parts.clear()
+            self.nodes = 0
+        parts, held, at, place = self._cut(text), self.parts, [], key * GOLDEN
+        for p in parts:
+            node = held.get(p)
+            if node is None:
+                if len(p) <= SHORT:
+                    node = held[p] = self._node(p)
+                else:  # seldom met again, and too long to be worked out anew at each skip
+                    node = Node(array(self.code, self.segment(p, place)).tobytes(), [], (), 0)
+            at.append(node)
+            place += len(p)
+        if self.limit:
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+            places = (np.cumsum(sizes) - sizes).astype(np.uint64) + np.uint64((key * GOLDEN) & MASK)
+            self._drop(parts, at, places)
+        return b"".join([x.ids for x in at])
+
+    def _drop(self, parts: list[str], at: list[Node], places: np.ndarray) -> None:
+        """Moves each part on from skip to skip until the rest of its candidates is taken."""
+        open_ = np.arange(len(parts))
+        while len(open_):
+            now = [at[k] for k in open_.tolist()]
+            counts = np.fromiter([len(x.lefts) for x in now], np.int64, len(now)) // 2
+            lefts, pieces = np.frombuffer(b"".join([x.lefts for x in now]), "<u2"), np.frombuffer(b"".join([x.pieces for x in now]), "<u4")
+            of = np.repeat(np.arange(len(now)), counts)
+            skipped = np.flatnonzero(_draws(places[open_][of] + lefts, pieces, self.seed) < self.limit)
+            which, first = np.unique(of[skipped], return_index=True)
+            nth = skipped[first] - (np.cumsum(counts) - counts)[which]
+            open_ = open_[which]
+            for k, j in zip(open_.tolist(), nth.tolist(), strict=True):
+                node = at[k]
+                if node.after is None:
+                    node.after = {}
+                after = node.after.get(j)
+                if after is None:
+                    skip = (int.from_bytes(node.lefts[2 * j : 2 * j + 2], "little"), int.from_bytes(node.pieces[4 * j : 4 * j + 4], "little"))
+                    after = node.after[j] = self._node(parts[k], (*node.skips, skip), node.before + j)
+                at[k] = after
 
     def decode(self, ids: bytes) -> bytes:
         raw = b"".join(self.table[np.frombuffer(ids, self.kind)].tolist())
@@ -191,7 +263,7 @@ def encode(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 42, varia
     """docs with ids added: little-endian unsigned ids, two bytes each while the vocabulary has at most 65,536 pieces.
 
     Null and empty texts have no ids. Equal rows get equal ids; a null id_col counts as one document's. A column named ids is
-    replaced. The model file has to be at the given path on every machine.
+    replaced. The model file has to be at the given path on every machine. variants has no effect: each place draws anew.
     """
     docs = docs.drop("ids")
     base = docs.select(F.xxhash64(docs[id_col]).alias("k"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("t"), F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("x"))

@@ -317,6 +317,38 @@ def test_pieces_rows(spark, sf):
     assert got.n == got.ok == table(spark, sf, "documents").count()
 
 
+def test_pieces_draw_anew_at_every_place():
+    varied = pieces.Pieces(MODEL, 0.1, 42, 4)
+    whole = np.array([varied.ids[" as"]], "<u2").tobytes()
+    share = [varied.encode("as", k) for k in range(4_000)].count(whole) / 4_000
+    assert abs(share - (0.9 * 0.9 + 0.1 * 0.9 * 0.9)) < 0.02  # at once, or by the other pair where the first is skipped
+    for word in ["international", "understanding"]:
+        assert len({varied.encode(word, k) for k in range(4_000)}) > 20
+    text = "the international understanding of neighbouring countries"
+    for key in range(200):
+        at, ids = 0, []
+        for part in varied._cut(text):
+            ids += varied.segment(part, key * pieces.GOLDEN + at)
+            at += len(part)
+        assert varied.encode(text, key) == np.array(ids, "<u2").tobytes()
+
+
+def test_pieces_draw_anew_at_every_place():
+    varied = pieces.Pieces(MODEL, 0.1, 42, 4)
+    whole = np.array([varied.ids[" as"]], "<u2").tobytes()
+    share = [varied.encode("as", k) for k in range(4_000)].count(whole) / 4_000
+    assert abs(share - (0.9 * 0.9 + 0.1 * 0.9 * 0.9)) < 0.02  # at once, or by the other pair where the first is skipped
+    for word in ["international", "understanding"]:
+        assert len({varied.encode(word, k) for k in range(4_000)}) > 20
+    text = "the international understanding of neighbouring countries"
+    for key in range(200):
+        at, ids = 0, []
+        for part in varied._cut(text):
+            ids += varied.segment(part, key * pieces.GOLDEN + at)
+            at += len(part)
+        assert varied.encode(text, key) == np.array(ids, "<u2").tobytes()
+
+
 # 9: SimHash
 
 
