@@ -27,7 +27,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id and ids (packed, little-endian), without the text."""
-    return pieces.encode(docs, tokenizer_path("piece_bpe_32k.model"), rate=0.1, seed=42, variants=4).select("doc_id", "lang", "source", "ids")
+    return pieces.encode(docs, tokenizer_path("piece_bpe_32k.model"), rate=0.1, seed=42).select("doc_id", "lang", "source", "ids")
 
 
 STAGES = [
