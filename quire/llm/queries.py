@@ -64,7 +64,7 @@ def op7_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = tokenizer_path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    spelled = pieces.decode(pieces.encode(docs, model, rate=0.1, seed=42, variants=4), model)
+    spelled = pieces.decode(pieces.encode(docs, model, rate=0.1, seed=42), model)
     n_tokens = F.floor(F.octet_length("ids") / 2).cast("long")
     return spelled.select("doc_id", n_tokens.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), (F.col("decoded") == F.col("text")).alias("lossless"))
 

@@ -283,70 +283,79 @@ def test_rotation_of_long_parts(spark):
 MODEL = queries.tokenizer_path("piece_bpe_32k.model")
 
 
+def spelled_by(model: pieces.Pieces, text: str, key: int) -> bytes:
+    """The ids of a text from one agenda over the whole of it: the plain version."""
+    symbols = model.segment(" " + text, key * pieces.GOLDEN) if text else []
+    ids = [x if x < model.size else [int(model.byte_ids[b]) for b in chr(x - model.size).encode()] for x in symbols]
+    return np.array([y for x in ids for y in (x if isinstance(x, list) else [x])], "<u2").tobytes()
+
+
+PIECE_TEXTS = ["  a  b ", "é\x00\n😀 ﬁ", "<s> </s> <0x41>", "\n", "中文 字abc1234", "x" * 500, " " * 300, "", "▁x ▁▁ y", "hello world " * 50, "ab" * 40 + " c", "é😀\x00 \n"]
+
+
 def test_pieces_equal_library(spark, sf):
     import sentencepiece
 
     library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
-    plain = pieces.Pieces(MODEL, 0.0, 0, 1)
-    for text in [*list(texts_of(spark, sf).values())[:60], "  a  b ", "é\x00\n😀 ﬁ", "<s> </s> <0x41>", "\n", "中文 字abc1234", "x" * 500]:
-        assert np.frombuffer(plain.encode(text, 0), "<u2").tolist() == library.encode(text)
-
-
-def test_pieces_decode(spark, odd):
-    varied = pieces.Pieces(MODEL, 0.3, 7, 3)
-    for text in ["", " ", "▁x ▁▁ y", "é😀\x00 \n", "hello world " * 50, "a" * 3_000]:
-        ids = [varied.encode(text, k) for k in range(8)]
-        assert all(varied.decode(i).decode() == text for i in ids)
-        assert len(text) < 100 or len(set(ids)) > 1
-        assert ids[0] == pieces.Pieces(MODEL, 0.3, 7, 3).encode(text, 0)
-    words = [f"word{k}ing" for k in range(200)]
-    short, heap = [varied._segment_short(w, 1) for w in words], []
-    try:
-        pieces.SHORT, kept = 0, pieces.SHORT
-        heap = [varied.segment(w, 1) for w in words]
-    finally:
-        pieces.SHORT = kept
-    assert short == heap
+    plain = pieces.Pieces(MODEL, 0.0, 0)
+    texts = [*[t or "" for t in texts_of(spark, sf).values()], *[t for t in PIECE_TEXTS if "▁" not in t]]
+    ids, counts = plain.encode_all(texts, [0] * len(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [library.encode(t) for t in texts]
+
+
+@pytest.mark.parametrize("block", [pieces.BLOCK, 50])
+def test_pieces_equal_plain_agenda(spark, sf, monkeypatch, block):
+    monkeypatch.setattr(pieces, "BLOCK", block)
+    texts = [*PIECE_TEXTS, *[t for t in texts_of(spark, sf).values() if t and len(t) < 1_500][:80]]
+    for rate in (0.1, 0.6):
+        varied = pieces.Pieces(MODEL, rate, 42)
+        keys = [k * 7919 - 50 for k in range(len(texts))]
+        ids, counts = varied.encode_all(texts, keys)
+        for text, key, got in zip(texts, keys, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+            assert got.tobytes() == spelled_by(varied, text, key), text[:80]
+            assert varied.decode(got.tobytes()).decode() == text
+
+
+def test_pieces_rows_equal_plain_agenda(spark, sf):
+    """The query's rows, for whole documents of all lengths, from one agenda a document."""
+    varied = pieces.Pieces(MODEL, 0.1, 42)
+    keys = {r.doc_id: r.k for r in table(spark, sf, "documents").select("doc_id", F.xxhash64("doc_id").alias("k")).collect()}
+    texts = texts_of(spark, sf)
+    for r in queries.op8_sentencepiece(spark, sf).collect():
+        ids = spelled_by(varied, texts[r.doc_id] or "", keys[r.doc_id])
+        assert (r.n_tokens, r.ids_crc32, r.lossless) == (len(ids) // 2, zlib.crc32(ids), True)
+
+
+def test_pieces_odd(spark, odd):
     back = pieces.decode(pieces.encode(odd, MODEL), MODEL)
+    assert back.columns == [*[c for c in odd.columns if c != "ids"], "ids", "decoded"]
     assert back.where(F.col("decoded") != F.coalesce("text", F.lit(""))).count() == 0 and back.count() == odd.count()
     assert pieces.encode(odd.limit(0), MODEL).count() == 0
-
-
-def test_pieces_rows(spark, sf):
-    got = queries.op8_sentencepiece(spark, sf).agg(F.count("*").alias("n"), F.count_if("lossless").alias("ok")).first()
-    assert got.n == got.ok == table(spark, sf, "documents").count()
+    assert {r.n for r in pieces.encode(odd, MODEL).where("doc_id = 3").select(F.crc32("ids").alias("n")).collect()}.__len__() == 1
+    assert pieces.encode(odd, MODEL).where("text is null or text = ''").agg(F.max(F.octet_length("ids"))).first()[0] == 0
 
 
 def test_pieces_draw_anew_at_every_place():
-    varied = pieces.Pieces(MODEL, 0.1, 42, 4)
+    varied = pieces.Pieces(MODEL, 0.1, 42)
     whole = np.array([varied.ids[" as"]], "<u2").tobytes()
     share = [varied.encode("as", k) for k in range(4_000)].count(whole) / 4_000
     assert abs(share - (0.9 * 0.9 + 0.1 * 0.9 * 0.9)) < 0.02  # at once, or by the other pair where the first is skipped
     for word in ["international", "understanding"]:
         assert len({varied.encode(word, k) for k in range(4_000)}) > 20
-    text = "the international understanding of neighbouring countries"
-    for key in range(200):
-        at, ids = 0, []
-        for part in varied._cut(text):
-            ids += varied.segment(part, key * pieces.GOLDEN + at)
-            at += len(part)
-        assert varied.encode(text, key) == np.array(ids, "<u2").tobytes()
 
 
-def test_pieces_draw_anew_at_every_place():
-    varied = pieces.Pieces(MODEL, 0.1, 42, 4)
-    whole = np.array([varied.ids[" as"]], "<u2").tobytes()
-    share = [varied.encode("as", k) for k in range(4_000)].count(whole) / 4_000
-    assert abs(share - (0.9 * 0.9 + 0.1 * 0.9 * 0.9)) < 0.02  # at once, or by the other pair where the first is skipped
-    for word in ["international", "understanding"]:
-        assert len({varied.encode(word, k) for k in range(4_000)}) > 20
-    text = "the international understanding of neighbouring countries"
-    for key in range(200):
-        at, ids = 0, []
-        for part in varied._cut(text):
-            ids += varied.segment(part, key * pieces.GOLDEN + at)
-            at += len(part)
-        assert varied.encode(text, key) == np.array(ids, "<u2").tobytes()
+def test_pieces_draws_are_even_and_apart():
+    """Each candidate is skipped at the rate, whatever its neighbours in place, piece or document do."""
+    places = np.arange(200_000, dtype=np.uint64)
+    skip = lambda p, piece, seed=42: pieces._draws(p, np.full(len(p), piece), seed) < 0.1 * 2**32
+    one = skip(places, 1000)
+    assert abs(one.mean() - 0.1) < 0.003
+    for k in (1, 2, 64, 113):
+        assert abs(one[k:][one[:-k]].mean() - 0.1) < 0.01
+    far = np.array([key * pieces.GOLDEN & pieces.MASK for key in range(200_000)], np.uint64)
+    for other in (skip(places, 1001), skip(places, 1000, 43), skip(far, 1000)):
+        assert abs(other.mean() - 0.1) < 0.003 and abs(other[one].mean() - 0.1) < 0.01
+    assert [int(x) for x in pieces._draws(places[:50], np.arange(50), 7)] == [pieces._draw(k, k, 7) for k in range(50)]
 
 
 # 9: SimHash
