@@ -1,10 +1,12 @@
 """Quality classifier from weak labels.
 
-Heuristic labellers vote good, bad or nothing on every document. The votes of all documents are counted by pattern (at
-most 3 to the number of labellers rows, however large the corpus); expectation-maximisation over those counts estimates
-each labeller's accuracy on either class, and with them the posterior of each pattern. A bounded sample of documents,
-drawn by the hash of their ids and text, trains a logistic regression over hashed features to give those posteriors, and that linear
-scorer judges every document.
+Heuristic labellers vote good, bad or neither on every document, and are silent where a text is too short for them. The
+votes of all documents are counted by pattern (at most 4 to the number of labellers rows, however large the corpus);
+expectation-maximisation over those counts estimates how often each labeller gives each of the three answers on either
+class, abstaining included, and with that the posterior of each pattern. Silence says nothing about the class. Each
+labeller is anchored: it starts from pseudo-counts that trust its votes, and a vote that would count for the other class
+counts for none. A bounded sample of documents, drawn by the hash of their ids and text, trains a logistic regression over
+hashed features to give those posteriors, and that linear scorer judges every document.
 """
 
 from __future__ import annotations
@@ -22,11 +24,14 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import draw, text_bytes
 
-GOOD, BAD, NONE = 1, 0, 2
+GOOD, BAD, NONE, SILENT = 1, 0, 2, 3
+ANSWERS = 4
+#: Pseudo-counts, by class, of a labeller's answers: bad, good, neither.
+ANCHORS = {BAD: (20.0, 1.0, 4.0), GOOD: (1.0, 20.0, 4.0)}
 SAMPLE_DOCS = 20_000
 DIMENSIONS = 1 << 15
 ROUNDS = 100
-LABELLERS = ["symbols", "capitals", "variety", "top_word", "repeats", "cells", "sentences", "function_words", "word_length", "size"]
+LABELLERS = ["symbols", "capitals", "variety", "top_word", "repeats", "cells", "sentences", "function_words", "word_length", "short_form"]
 
 # Frequent function words of English, French, German and Spanish.
 FUNCTION_WORDS = frozenset(
@@ -72,13 +77,13 @@ class Reader:
         return got
 
     def read(self, text: bytes) -> tuple[int, np.ndarray, np.ndarray]:
-        """Vote pattern as a base-3 number, feature places and their values."""
+        """Vote pattern as a base-4 number, feature places and their values. Without words there are no features."""
         from xxhash import xxh64_intdigest
 
         words = text.translate(LOWER).split()
         n = len(words)
         if not n:
-            return sum((BAD if k == len(LABELLERS) - 1 else NONE) * 3**k for k in range(len(LABELLERS))), np.zeros(1, np.int64), np.ones(1)
+            return pattern_of([SILENT] * (len(LABELLERS) - 1) + [BAD]), np.zeros(0, np.int64), np.zeros(0)
         counts = Counter(words)
         symbols = caps = small = ends = 0
         places: dict[int, float] = {}
@@ -95,51 +100,62 @@ class Reader:
         cells = counts.get(b"|", 0) / n
         repeats = sum(map(eq, words, islice(words, 1, None))) / n
         stats = [symbols / n, caps / letters, len(counts) / n if n >= 20 else 0.5, top / n if n >= 20 else 0.08, cells, ends / n, functional, letters / n, repeats]
+        form = text.strip()
+        starts, ends_well = form[:1].isupper() or form[0] >= 128, form[-1:] in (b".", b"!", b"?") or form[-1] >= 128
         votes = [
             _vote(stats[0], 0.5, 0.1),
-            _vote(stats[1], 0.5, 0.15),
-            _vote(stats[2] * max(1.0, n / 400) ** 0.4, 0.25, 0.4),
-            _vote(stats[3], 0.25, 0.15),
-            _vote(stats[8], 0.1, 0.03) if n >= 5 else NONE,
+            _vote(stats[1], 0.5, 0.15) if letters >= 20 else SILENT,
+            _vote(stats[2] * max(1.0, n / 400) ** 0.4, 0.25, 0.4) if n >= 20 else SILENT,
+            _vote(stats[3], 0.25, 0.15) if n >= 20 else SILENT,
+            _vote(stats[8], 0.1, 0.03) if n >= 5 else SILENT,
             BAD if cells > 0.15 else NONE,
-            _vote(stats[5], 0.005, 0.03) if n >= 40 else NONE,
-            _vote(stats[6], 0.02, 0.1) if n >= 20 else NONE,
+            _vote(stats[5], 0.005, 0.03) if n >= 40 else SILENT,
+            _vote(stats[6], 0.02, 0.1) if n >= 20 else SILENT,
             BAD if not 2 <= stats[7] <= 14 else NONE,
-            BAD if n < 5 else NONE,
+            (BAD, NONE, GOOD)[starts + ends_well] if n < 5 else SILENT,
         ]
         values = {at: float(np.log1p(c)) / np.log1p(n) for at, c in places.items()}
         for k, value in enumerate(stats):
             values[xxh64_intdigest(f"stat {k} {int(min(value, 15.99) ** 0.5 * 16)}".encode()) % DIMENSIONS] = 1.0
+        values[xxh64_intdigest(f"form {starts}{ends_well}".encode()) % DIMENSIONS] = 1.0
         values[0] = 1.0
-        return sum(v * 3**k for k, v in enumerate(votes)), np.fromiter(values, np.int64, len(values)), np.fromiter(values.values(), float, len(values))
+        return pattern_of(votes), np.fromiter(values, np.int64, len(values)), np.fromiter(values.values(), float, len(values))
+
+
+def pattern_of(votes: list[int]) -> int:
+    return sum(v * ANSWERS**k for k, v in enumerate(votes))
 
 
 def votes_of(pattern: int) -> list[int]:
-    return [pattern // 3**k % 3 for k in range(len(LABELLERS))]
+    return [pattern // ANSWERS**k % ANSWERS for k in range(len(LABELLERS))]
 
 
 @dataclass
 class LabelModel:
-    """prior: share of good documents; accuracy[labeller][class][vote]: how a labeller that votes does so on a class."""
+    """prior: share of good documents; accuracy[labeller][class][answer]: how often it gives an answer when it isn't silent."""
 
     prior: float
     accuracy: np.ndarray
 
     @classmethod
     def fit(cls, counts: dict[int, int], rounds: int = ROUNDS) -> LabelModel:
-        patterns = np.array([votes_of(p) for p in counts]).reshape(-1, len(LABELLERS))
+        patterns = np.array([votes_of(p) for p in counts], np.int64).reshape(-1, len(LABELLERS))
         n = np.array(list(counts.values()), float)
         good = np.where((patterns == BAD).any(axis=1), 0.1, 0.9)
-        model = cls(0.5, np.ones((len(LABELLERS), 2, 3)))  # no vote says nothing about the class
-        for _ in range(rounds if len(n) else 0):
-            model.prior = float(np.clip((good * n).sum() / n.sum(), 0.01, 0.99))
+        model = cls(0.5, np.ones((len(LABELLERS), 2, ANSWERS)))  # silence keeps its factor of 1
+        for _ in range(max(1, rounds)):
+            model.prior = float(np.clip(((good * n).sum() + 1) / (n.sum() + 2), 0.01, 0.99))
             for k in range(len(LABELLERS)):
-                for vote in (BAD, GOOD):
-                    cast = (patterns[:, k] == vote) * n
-                    model.accuracy[k, 1, vote], model.accuracy[k, 0, vote] = (cast * good).sum() + 1, (cast * (1 - good)).sum() + 1
-            model.accuracy[:, :, :NONE] /= model.accuracy[:, :, :NONE].sum(axis=2, keepdims=True)
+                for c, share in ((BAD, 1 - good), (GOOD, good)):
+                    seen = [(share * n)[patterns[:, k] == answer].sum() + ANCHORS[c][answer] for answer in (BAD, GOOD, NONE)]
+                    model.accuracy[k, c, :SILENT] = np.array(seen) / sum(seen)
+                told = model.accuracy[k, :, :SILENT]
+                useless = [vote for vote in (BAD, GOOD) if told[vote, vote] < told[1 - vote, vote]]
+                told[:, useless] = told[:, useless].mean(axis=0)
+                other = [answer for answer in (BAD, GOOD, NONE) if answer not in useless]
+                told[:, other] *= (1 - told[:, useless].sum(axis=1, keepdims=True)) / told[:, other].sum(axis=1, keepdims=True)
             new = model.posterior(patterns)
-            if np.abs(new - good).max() < 1e-6:
+            if not len(n) or np.abs(new - good).max() < 1e-6:
                 break
             good = new
         return model
@@ -147,7 +163,7 @@ class LabelModel:
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
         """Probability that a document with these votes is good."""
         at = np.arange(len(LABELLERS))
-        log = [np.log(self.accuracy[at, c, patterns]).sum(axis=1) + np.log(p) for c, p in ((0, 1 - self.prior), (1, self.prior))]
+        log = [np.log(self.accuracy[at, c, patterns]).sum(axis=1) + np.log(p) for c, p in ((BAD, 1 - self.prior), (GOOD, self.prior))]
         return 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
 
 
@@ -201,8 +217,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """docs with label (posterior of the weak labels), score (the scorer's probability of good) and keep added.
 
-    Null and empty texts get a single vote, bad for their size. Repeated rows are judged alike, each on its own. No rows give no
-    rows. Columns named label, score or keep are replaced.
+    Texts without words, null and empty ones among them, have nothing to learn from: label and score are 0, and they aren't
+    kept. Very long texts are read whole. Repeated rows are judged alike, each on its own. No rows give no rows. Columns named
+    label, score or keep are replaced.
     """
     docs = docs.drop("label", "score", "keep")
     model, weights = fit(docs, id_col, text_col, sample_docs)
@@ -210,6 +227,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
 
     def step(pattern: int, at: np.ndarray, x: np.ndarray) -> tuple[float, float]:
         model, weights = shared.value
+        if not len(at):
+            return 0.0, 0.0
         return float(model.posterior(np.array([votes_of(pattern)]))[0]), float(1 / (1 + np.exp(-np.clip(weights[at] @ x, -50, 50))))
 
     out = _read_all(docs, text_col, "label double, score double", step, docs.columns)

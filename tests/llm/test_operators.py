@@ -239,26 +239,110 @@ def test_quality_against_labels(spark):
     assert right / got.count() >= 0.95
 
 
-def test_label_model():
+def plain_votes(text: str | None) -> list[int]:
+    """The labellers' answers, worked out plainly from their definitions."""
+    raw = (text or "").encode().translate(simhash.ASCII_LOWER)
+    words, cased = raw.split(), (text or "").encode().split()
+    n, silent = len(words), quality.SILENT
+    if not n:
+        return [silent] * 9 + [quality.BAD]
+    bound = lambda v, bad, good: (quality.BAD if (v > bad if bad > good else v < bad) else quality.GOOD if (v < good if bad > good else v > good) else quality.NONE)
+    upper = sum(65 <= b <= 90 for w in cased for b in w)
+    letters = upper + sum(97 <= b <= 122 or b >= 128 for w in cased for b in w)
+    symbols = sum(b in b"#$%&*<>=@\\^_{|}~" for w in cased for b in w)
+    ends = sum(w.endswith((b".", b"!", b"?")) and not any(b in b"#$%&*<>=@\\^_{|}~" for b in w) for w in cased)
+    functional = sum(w in quality.FUNCTION_WORDS for w in words)
+    repeats = sum(a == b for a, b in zip(words, words[1:], strict=False))
+    cells, mean = words.count(b"|") / n, letters / n
+    first, last = cased[0], cased[-1]
+    form = (65 <= first[0] <= 90 or first[0] >= 128) + (last[-1] in b".!?" or last[-1] >= 128)
+    return [
+        bound(symbols / n, 0.5, 0.1),
+        bound(upper / max(1, letters), 0.5, 0.15) if letters >= 20 else silent,
+        bound(len(set(words)) / n * max(1.0, n / 400) ** 0.4, 0.25, 0.4) if n >= 20 else silent,
+        bound(max(map(words.count, set(words))) / n, 0.25, 0.15) if n >= 20 else silent,
+        bound(repeats / n, 0.1, 0.03) if n >= 5 else silent,
+        quality.BAD if cells > 0.15 else quality.NONE,
+        bound(ends / n, 0.005, 0.03) if n >= 40 else silent,
+        bound(functional / n, 0.02, 0.1) if n >= 20 else silent,
+        quality.BAD if mean < 2 or mean > 14 else quality.NONE,
+        (quality.BAD, quality.NONE, quality.GOOD)[form] if n < 5 else silent,
+    ]
+
+
+def test_votes_and_labels_against_plain(spark, sf):
+    """Every document's votes, and the label that plain loops of the same model give them."""
+    texts = texts_of(spark, sf)
+    votes = {i: plain_votes(t) for i, t in texts.items()}
+    reader = quality.Reader()
+    assert {i: quality.votes_of(reader.read((t or "").encode())[0]) for i, t in texts.items()} == votes
+    ids = sorted(texts)
+    good, right = {i: 0.1 if quality.BAD in votes[i] else 0.9 for i in ids}, {}
+    for _ in range(quality.ROUNDS):
+        prior = min(0.99, max(0.01, (sum(good.values()) + 1) / (len(ids) + 2)))
+        for k in range(len(quality.LABELLERS)):
+            for c in (0, 1):
+                seen = [sum(good[i] if c else 1 - good[i] for i in ids if votes[i][k] == v) + quality.ANCHORS[c][v] for v in (0, 1, 2)]
+                right[k, c] = [x / sum(seen) for x in seen]
+            useless = [v for v in (0, 1) if right[k, v][v] < right[k, 1 - v][v]]
+            for v in useless:
+                right[k, 0][v] = right[k, 1][v] = (right[k, 0][v] + right[k, 1][v]) / 2
+            for c in (0, 1):
+                left = (1 - sum(right[k, c][v] for v in useless)) / sum(right[k, c][v] for v in (0, 1, 2) if v not in useless)
+                right[k, c] = [x if v in useless else x * left for v, x in enumerate(right[k, c])] + [1.0]
+        new = {}
+        for i in ids:
+            odds = (1 - prior) / prior
+            for k, v in enumerate(votes[i]):
+                odds *= right[k, 0][v] / right[k, 1][v]
+            new[i] = 1 / (1 + odds)
+        moved, good = max(abs(new[i] - good[i]) for i in ids), new
+        if moved < 1e-6:
+            break
+    for r in quality.score(table(spark, sf, "documents")).collect():
+        assert abs(r.label - (good[r.doc_id] if (texts[r.doc_id] or "").split() else 0.0)) < 1e-4
+
+
+@pytest.mark.parametrize("anchored_wrong", [False, True])
+def test_label_model(anchored_wrong):
     rng = np.random.default_rng(2)
-    good = rng.random(4_000) < 0.7
+    good = rng.random(8_000) < 0.7
     accurate = [0.95, 0.9, 0.8, 0.7, 0.6]
+    spots = [(0.8, 0.02), (0.4, 0.01), (0.1, 0.05)]  # labellers that only ever vote bad: how often on bad, on good documents
     counts: dict[int, int] = {}
     for g in good:
-        votes = [int(g) if rng.random() < a else 1 - int(g) for a in accurate] + [2] * (len(quality.LABELLERS) - len(accurate))
-        p = sum(v * 3**k for k, v in enumerate(votes))
+        votes = [int(g) if rng.random() < a else 1 - int(g) for a in accurate]
+        votes += [quality.BAD if rng.random() < (on_good if g else on_bad) else quality.NONE for on_bad, on_good in spots]
+        votes += [quality.SILENT] * (len(quality.LABELLERS) - len(votes))
+        if anchored_wrong:  # a labeller that votes against the truth is not turned round
+            votes[-1] = 1 - int(g) if rng.random() < 0.9 else int(g)
+        p = quality.pattern_of(votes)
         counts[p] = counts.get(p, 0) + 1
     model = quality.LabelModel.fit(counts)
     assert abs(model.prior - 0.7) < 0.05
-    assert all(abs(model.accuracy[k, 1, 1] - a) < 0.05 for k, a in enumerate(accurate))
+    assert all(abs(model.accuracy[k, 1, 1] - a) < 0.05 and abs(model.accuracy[k, 0, 0] - a) < 0.05 for k, a in enumerate(accurate))
+    for k, (on_bad, on_good) in enumerate(spots, len(accurate)):
+        assert abs(model.accuracy[k, 0, 0] - on_bad) < 0.05 and abs(model.accuracy[k, 1, 0] - on_good) < 0.05
+    assert (model.accuracy[:, 0, 0] >= model.accuracy[:, 1, 0] - 1e-9).all() and (model.accuracy[:, 1, 1] >= model.accuracy[:, 0, 1] - 1e-9).all()
 
 
 def test_quality_odd(spark, odd):
-    got = quality.score(odd)
+    got = quality.score(odd.withColumn("Score", F.lit("x")).withColumn("keep", F.lit(1)))
     assert got.count() == odd.count() and got.columns == [*odd.columns, "label", "score", "keep"]
     assert quality.score(odd.limit(0)).count() == 0
 
 
+def test_quality_of_short_texts(spark, sf):
+    """Texts without words never stay; scraps and cells go; a short sentence, which the labels call good, stays."""
+    go = [None, "", " \n\t", "ok", "a b c", "###", "a | b | c | d", "| | |", "one | two | three\nfour | five | six"]
+    stay = ["This.", "The cat sat.", "A short but good sentence stands here."]
+    docs = table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text")  # a handful of short texts is too few
+    more = spark.createDataFrame([(-k, t) for k, t in enumerate(go + stay, 1)], "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.score(docs.unionByName(more)).where("doc_id < 0").collect()}
+    assert [got[-k].keep for k in range(1, len(go + stay) + 1)] == [False] * len(go) + [True] * len(stay)
+    assert all((got[-k].label, got[-k].score) == (0.0, 0.0) for k in (1, 2, 3))
+
+
 # 7: chat
 
 

@@ -40,6 +40,13 @@ def test_quality_keeps_good(stages, spark, sf):
     assert np.mean([(r.doc_id in kept) == (r.quality == 1) for r in rows]) > 0.9
 
 
+def test_no_text_without_words_passes_quality(spark, sf):
+    docs = table(spark, sf, "documents")
+    more = spark.createDataFrame([(-1, None, "en", "s", 0), (-2, "", "en", "s", 0), (-3, " \n", "en", "s", 0), (None, "a | b | c", None, None, None)], docs.schema)
+    stage = dict(corpus_pipeline.STAGES)["quality"]
+    assert stage(spark, docs.unionByName(more), sf).where("doc_id < 0 or doc_id is null").count() == 0
+
+
 def test_one_of_each_group_stays(stages):
     before, after = ({r.doc_id: shingles(r.text) for r in t.collect()} for t in stages["near_duplicates"])
     alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
