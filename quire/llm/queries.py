@@ -9,6 +9,10 @@ from quire.llm import chat, decontaminate, licenses, neighbours, pieces, pii, qu
 from quire.llm.common import table
 
 
+#: Longest dialogue that is rendered whole, in messages.
+CHAT_MESSAGES = 4096
+
+
 def tokenizer_path(name: str) -> str:
     """Where the machine keeps its public tokenizer files."""
     import public_tokenizers
@@ -56,9 +60,9 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = chat.rotate(table(spark, sf_dir, "conversations"))
+    shown = chat.rotate(table(spark, sf_dir, "conversations"), most=CHAT_MESSAGES)
     masks = F.array_join(F.transform("masks", lambda m: F.concat_ws(":", m["start"].cast("string"), m["end"].cast("string"))), ",")
-    return shown.select("conv_id", "speaker", "block", F.col("n_messages").cast("long").alias("n_messages"), "rendered", masks.alias("masks"))
+    return shown.select("conv_id", "speaker", "part", F.col("n_messages").cast("long").alias("n_messages"), "rendered", masks.alias("masks"))
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,24 +109,27 @@ ORACLES: dict[str, str] = {
                 in ({", ".join(f"'{u}'" for u in url_filter.LISTED)}) then 'block' else 'allow' end) as verdict
         from urls left join fits using (n)
     """,
-    "op7_chat_rotation": """
-        with m as (select distinct conv_id, turn, role, text from conversations),
-        p as (select distinct conv_id, role as speaker from m where role <> 'system'),
+    "op7_chat_rotation": f"""
+        with d as (select distinct conv_id, turn, role, coalesce(text, '') as text from conversations),
+        m as (
+            select *, (row_number() over (partition by conv_id order by turn nulls last, role nulls first, text) - 1) // {CHAT_MESSAGES} as part from d
+        ),
+        p as (select distinct conv_id, role as speaker from m where role is distinct from 'system'),
         r as (
-            select m.conv_id, speaker, turn // 64 as block, turn, role, text, role = speaker as own,
-                '<|im_start|>' || case when role = speaker then 'assistant' when role = 'system' then 'system'
-                    else 'user name=' || role end || chr(10) as head,
+            select m.conv_id, speaker, part, turn, role, text, role is not distinct from speaker as own,
+                '<|im_start|>' || case when role is not distinct from speaker then 'assistant' when role = 'system' then 'system'
+                    else coalesce('user name=' || replace(replace(replace(role, chr(10), ' '), chr(13), ' '), '<|im_', '<| im_'), 'user') end || chr(10) as head,
                 replace(text, '<|im_', '<| im_') || '<|im_end|>' || chr(10) as body
-            from m join p using (conv_id)
+            from m join p on m.conv_id is not distinct from p.conv_id
         ),
         s as (
             select *, sum(length(head) + length(body)) over (
-                partition by conv_id, speaker, block order by turn, role, text rows unbounded preceding) as stop
+                partition by conv_id, speaker, part order by turn nulls last, role nulls first, text rows unbounded preceding) as stop
             from r
         )
-        select conv_id, speaker, block, count(*) as n_messages,
-            string_agg(head || body, '' order by turn, role, text) as rendered,
-            coalesce(string_agg(case when own then (stop - length(body))::bigint || ':' || (stop - 1)::bigint end, ',' order by turn, role, text), '') as masks
-        from s group by conv_id, speaker, block
+        select conv_id, speaker, part, count(*) as n_messages,
+            string_agg(head || body, '' order by turn nulls last, role nulls first, text) as rendered,
+            coalesce(string_agg(case when own then (stop - length(body))::bigint || ':' || (stop - 1)::bigint end, ',' order by turn nulls last, role nulls first, text), '') as masks
+        from s group by conv_id, speaker, part
     """,
 }
