@@ -19,32 +19,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. On a local master, where that is unset, a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='quire-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-_WRITTEN: list[str] = []
-
-
 def fresh_path(spark: SparkSession, what: str) -> str:
-    _WRITTEN.append(f"{shared_dir(spark)}/quire-{what}-{uuid.uuid4().hex}")
-    return _WRITTEN[-1]
-
-
-def clear_written(spark: SparkSession) -> None:
-    """Removes every table that this process has written to the shared folder; results still to be read go with them."""
-    while _WRITTEN:
-        delete_path(spark, _WRITTEN.pop())
+    """A path of its own in the shared folder. What is written there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/quire-{what}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
 
 
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage, and survives lost executors."""
     path = fresh_path(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.mode("overwrite").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._quire_path = path
     return out

@@ -41,52 +41,106 @@ def test_rows_equal_sql(spark, sf, name):
 # 1: decontamination
 
 
-def plain_hits(text: str, items: list[tuple[int, str]], window: int):
-    words = re.findall(WORDS, lower(text or ""))
-    hit, ids = set(), set()
+def plain_windows(items: list[tuple], window: int) -> dict[tuple, set[str]]:
+    out: dict[tuple, set[str]] = {}
     for i, item in items:
         w = re.findall(WORDS, lower(item or ""))
         for k in range(max(1, len(w) - window + 1) if w else 0):
-            part = w[k : k + window]
-            for at in range(len(words) - len(part) + 1):
-                if words[at : at + len(part)] == part:
-                    hit.update(range(at, at + len(part)))
-                    ids.add(str(i))
+            out.setdefault(tuple(w[k : k + window]), set()).update([] if i is None else [str(i)])
+    return out
+
+
+def plain_hits(text: str | None, windows: dict[tuple, set[str]]):
+    words = re.findall(WORDS, lower(text or ""))
+    hit, ids = set(), set()
+    for n in {len(w) for w in windows}:
+        for at in range(len(words) - n + 1):
+            told = windows.get(tuple(words[at : at + n]))
+            if told is not None:
+                hit.update(range(at, at + n))
+                ids |= told
     return len(words), len(hit), sorted(ids)
 
 
 def test_decontamination_rows(spark, sf):
-    items = [(r.item_id, r.text) for r in table(spark, sf, "benchmark").collect()]
+    windows = plain_windows([(r.item_id, r.text) for r in table(spark, sf, "benchmark").collect()], 10)
     got = {r.doc_id: r for r in queries.op1_decontaminate(spark, sf).collect()}
     texts = texts_of(spark, sf)
-    assert set(got) == set(texts)
-    for i in sorted(texts, key=lambda i: (not got[i].contaminated, len(texts[i])))[:60]:
-        n, hit, ids = plain_hits(texts[i], items, 10)
+    assert set(got) == set(texts) and any(r.contaminated for r in got.values())
+    for i, text in texts.items():
+        n, hit, ids = plain_hits(text, windows)
         assert (got[i].n_words, got[i].n_hit, got[i].n_items, got[i].contaminated) == (n, hit, len(ids), hit > 0)
         assert got[i].items_sha256 == hashlib.sha256(",".join(ids).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("shard_words", [100_000, 7])
-def test_automaton_against_windows(spark, shard_words):
+@pytest.fixture(scope="module")
+def said():
     rng = np.random.default_rng(0)
     say = lambda n: " ".join(rng.choice(list("abc"), n))
-    items = [(k, say(int(rng.integers(1, 12)))) for k in range(15)] + [(99, None), (98, " ")]
-    docs = [(k, say(int(rng.integers(0, 40)))) for k in range(60)]
-    found = decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), window=4, shard_words=shard_words)
-    for r in found.collect():
-        n, hit, ids = plain_hits(dict(docs)[r.doc_id], items, 4)
+    items = [(k, say(int(rng.integers(2, 12)))) for k in range(15)] + [(99, None), (98, " "), (None, say(6))]
+    return items, [(k, say(int(rng.integers(0, 40)))) for k in range(60)] + [(60, None), (61, "")]
+
+
+@pytest.mark.parametrize("shard_words", [100_000, 30])
+def test_automaton_against_windows(spark, said, shard_words):
+    items, docs = said
+    found = decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), window=4, shard_words=shard_words).collect()
+    windows = plain_windows(items, 4)
+    assert len(found) == len(docs)
+    for r in found:
+        n, hit, ids = plain_hits(dict(docs)[r.doc_id], windows)
         assert (r.n_words, sum(s.end - s.start for s in r.hits), r.item_ids) == (n, hit, ids)
 
 
+@pytest.mark.parametrize("shard_words", [100_000, 30])
+@pytest.mark.parametrize("max_coverage", [1.0, 0.4])
+def test_nothing_is_left_after_cuts(spark, said, shard_words, max_coverage):
+    """Cut until no window is left, whatever joins up; both ways of passing the shards keep the same rows."""
+    items, docs = said
+    windows, want = plain_windows(items, 4), {}
+    for i, text in docs:
+        n, lost, words = len(re.findall(WORDS, text or "")), 0, (text or "").split()
+        while True:
+            hit = {at + k for size in {len(w) for w in windows} for at in range(len(words) - size + 1) if tuple(words[at : at + size]) in windows for k in range(size)}
+            lost += len(hit)
+            words = [w for k, w in enumerate(words) if k not in hit]
+            if not hit:
+                break
+        if lost <= n * max_coverage:
+            want[i] = words
+    got = decontaminate.remove(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), window=4, max_coverage=max_coverage, shard_words=shard_words).collect()
+    assert {r.doc_id: (r.text or "").split() for r in got} == want
+    assert {r.doc_id: r.text for r in got}[60] is None
+
+
 def test_decontamination_cuts(spark, odd):
     items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "Clean text stays as it is, all of it here; more words too, and so on. Start ONE two, three four five six seven eight nine ten! End."), (2, "one two three four five six seven eight nine ten"), (3, "one two")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in decontaminate.remove(docs, items).collect()}
     assert set(got) == {1, 3} and got[1].endswith("on. Start ! End.") and got[3] == "one two"
-    kept = decontaminate.remove(odd, items)
-    assert kept.columns == odd.columns and kept.count() == odd.count()
-    assert decontaminate.find(odd.limit(0), items).count() == 0
+    joins = spark.createDataFrame([(1, "x " * 60 + "one two three four five ONE two three four five six seven eight nine ten six seven eight nine ten y")], "doc_id long, text string")
+    assert [r.text.split() for r in decontaminate.remove(joins, items).collect()] == [["x"] * 60 + ["y"]]
+    for shard_words in (decontaminate.SHARD_WORDS, 10):
+        two = items.unionByName(spark.createDataFrame([(2, "p q r s t u v w x y z")], "item_id long, text string"))
+        kept = decontaminate.remove(odd, two, shard_words=shard_words)
+        assert kept.columns == odd.columns and kept.count() == odd.count()
+        assert decontaminate.find(odd.limit(0), two, shard_words=shard_words).count() == 0 == decontaminate.remove(odd.limit(0), two, shard_words=shard_words).count()
+        assert decontaminate.find(odd, two, shard_words=shard_words).count() == odd.count()
     assert decontaminate.find(odd, items.limit(0)).where("size(hits) > 0").count() == 0
+    assert decontaminate.remove(odd, items.limit(0)).count() == odd.count()
+
+
+# shared
+
+
+def test_shared_folder_has_to_be_named_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from quire.llm import common
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None, set=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(session)
 
 
 # 2: personal data
