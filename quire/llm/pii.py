@@ -18,11 +18,54 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{1,4}){3,8}+(?![A-Za-z0-9])"
+# Lengths of account numbers by country, as the public registry of IBANs has them.
+IBAN_LENGTHS = {
+    15: "NO",
+    16: "BE",
+    18: "DK FI FK FO GL NL SD",
+    19: "MK SI",
+    20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST",
+    26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA",
+    30: "JO KW MU YE",
+    31: "MT SC",
+    32: "LC",
+    33: "RU",
+}
+
+
+def _iban(length: int, countries: str) -> str:
+    """Country, check digits, groups of four and the rest, with or without spaces between the groups."""
+    groups, rest = divmod(length - 4, 4)
+    return rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{groups}}}" + (rf"\x20?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+IBAN = r"(?<![A-Za-z0-9])(?:" + "|".join(_iban(n, c) for n, c in IBAN_LENGTHS.items()) + r")(?![A-Za-z0-9])"
 LOCAL_PHONE = r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])"
 NATIONAL_ID = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 
-# Words that raise the score of a kind when they stand near it.
+# Forms of keys that services give out, and names under which values are kept secret.
+TOKENS = [
+    r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
+    r"gh[pousr]_[A-Za-z0-9]{36,255}+",
+    r"xox[abprs]-[A-Za-z0-9-]{10,255}+",
+    r"eyJ[A-Za-z0-9_-]{8,4096}+\.[A-Za-z0-9_-]{8,4096}+\.[A-Za-z0-9_-]{8,4096}+",
+]
+NAMED = r"(?i:api[_-]?key|access[_-]?key|secret|token|password|passwd|pwd)"
+SECRET = (
+    r"(?<![A-Za-z0-9+/_-])(?:"
+    + "|".join(TOKENS)
+    + rf"|(?=[A-Za-z0-9+/_-]{{16}})(?=[A-Za-z+/_-]*+[0-9])(?<={NAMED}[\"']?\x20?[:=]\x20?[\"']?)[A-Za-z0-9+/_-]{{16,4096}}+=*+)"
+)
+
+# Words that raise the score of a kind when they stand near it, and words that lower it.
 CONTEXT = {
     "email": ["mail", "email", "contact", "write"],
     "ip": ["ip", "address", "host", "server", "login"],
@@ -31,6 +74,17 @@ CONTEXT = {
     "iban": ["iban", "bank", "account", "konto", "compte", "cuenta"],
     "local_phone": ["phone", "tel", "call", "mobile", "fax", "telefon", "téléphone", "teléfono"],
     "national_id": ["ssn", "social", "security", "tax", "identity"],
+    "secret": ["secret", "private", "credential", "auth", "login"],
+}
+AGAINST = {
+    "email": ["example"],
+    "ip": ["version", "release"],
+    "card": ["order", "serial", "tracking"],
+    "phone": ["order", "serial", "tracking"],
+    "iban": ["example", "sample"],
+    "local_phone": ["order", "invoice", "serial", "isbn", "item", "ticket", "tracking"],
+    "national_id": ["order", "invoice", "serial", "isbn", "item", "ticket", "model"],
+    "secret": ["example", "sample", "placeholder", "dummy"],
 }
 
 
@@ -45,12 +99,13 @@ class Kind:
 
 
 BASE = [Kind("email", EMAIL, "@", 0.9), Kind("ip", IP, ".", 0.7), Kind("card", CARD, "", 0.9), Kind("phone", PHONE, "+", 0.8)]
-ADDED = [Kind("iban", IBAN, "", 0.9), Kind("local_phone", LOCAL_PHONE, "", 0.3), Kind("national_id", NATIONAL_ID, "-", 0.3)]
+ADDED = [Kind("iban", IBAN, "", 0.9), Kind("local_phone", LOCAL_PHONE, "", 0.3), Kind("national_id", NATIONAL_ID, "-", 0.3), Kind("secret", SECRET, "", 0.7)]
 CONTEXT_BONUS = 0.4
+CONTEXT_MALUS = 0.2
 THRESHOLD = 0.6
 NEAR = 40
 BLOCK = 64
-CHUNK = 4096
+CHUNK = 512
 
 SPAN = "struct<kind:string,start:int,end:int,score:double>"
 
@@ -99,18 +154,30 @@ def _gather(pairs: Column, at: Column, kind: str, step: Callable[[Column, Column
     return F.aggregate(pairs, start, fold, lambda done: F.concat(F.flatten(done["full"]), done["open"]))
 
 
-def _spans(found: Column, between: Column, kind: Kind) -> Column:
+def _chunks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def _piece(chunks: Column, a: Column, b: Column) -> Column:
+    """The characters from a to b of a text that is cut into chunks: no more than those chunks is looked at."""
+    first = F.floor(a / CHUNK).cast("int")
+    joined = F.array_join(F.slice(chunks, first + 1, F.floor((b - 1) / CHUNK).cast("int") - first + 1), "")
+    return F.when(a < b, F.substring(joined, a % CHUNK + 1, b - a)).otherwise("")
+
+
+def _spans(found: Column, between: Column, kind: Kind, chunks: Column, size: Column) -> Column:
     """Array of the found matches of one kind that pass its check, in order; places in code points, end exclusive."""
-    near = "|".join(CONTEXT[kind.name])
+    word = lambda words: rf"(?:^|[^\p{{L}}])(?:{'|'.join(words)})(?:[^\p{{L}}]|$)"
     none = F.array().cast(f"array<{SPAN}>")
 
     def step(at: Column, pair: Column) -> tuple[Column, Column]:
         m, gap = pair["m"], pair["gap"]
         begin = at + F.length(gap)
         end = begin + F.length(m)
-        around = F.lower(F.right(gap, F.lit(NEAR)))
-        bonus = F.when(around.rlike(rf"(?:^|[^\p{{L}}])(?:{near})(?:[^\p{{L}}]|$)"), CONTEXT_BONUS).otherwise(0.0)
-        span = F.struct(F.lit(kind.name).alias("kind"), begin.alias("start"), end.alias("end"), F.least(F.lit(1.0), F.lit(kind.score) + bonus).alias("score"))
+        before, behind = F.greatest(begin - NEAR, F.lit(0)), F.least(end + NEAR, size)
+        around = F.lower(F.concat(_piece(chunks, before, begin), F.lit(" | "), _piece(chunks, end, behind)))
+        score = F.lit(kind.score) + F.when(around.rlike(word(CONTEXT[kind.name])), CONTEXT_BONUS).otherwise(0.0) - F.when(around.rlike(word(AGAINST[kind.name])), CONTEXT_MALUS).otherwise(0.0)
+        span = F.struct(F.lit(kind.name).alias("kind"), begin.alias("start"), end.alias("end"), F.least(F.lit(1.0), score).alias("score"))
         return end, F.when(_valid(kind.name, m), F.array(span)).otherwise(none)
 
     pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, gap: F.struct(m.alias("m"), gap.alias("gap")))
@@ -120,37 +187,39 @@ def _spans(found: Column, between: Column, kind: Kind) -> Column:
 def find(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with the column pii: an array of (kind, start, end, score), by kind, then by place.
 
-    Base kinds stay whatever their score; spans of added kinds stay from `threshold` on, and only where they overlap no
-    base span. A null or empty text has none. Columns named pii or __pii_* are replaced.
+    Words within NEAR characters on either side of a match move its score, up or down. Base kinds stay whatever their score;
+    spans of added kinds stay from `threshold` on, and only where they overlap no base span (secrets stay even so). A null
+    or empty text has none; very long ones are read whole. Repeated rows are treated alike, no rows give no rows. Columns
+    named pii or __pii_* are replaced.
     """
+    kinds = BASE + ADDED
     out = docs.withColumn("__pii_text", F.coalesce(docs[text_col].cast("string"), F.lit("")))
     out = out.withColumn("__pii_digit", F.col("__pii_text").rlike("[0-9]"))
     text = F.col("__pii_text")
     may = lambda k: (F.contains(text, F.lit(k.hint)) if k.hint else F.lit(True)) & (F.lit(True) if k.name == "email" else F.col("__pii_digit"))
     matches = lambda k: F.when(may(k), F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    out = out.withColumns({f"__pii_{k.name}": matches(k) for k in BASE + ADDED})
-    spans = lambda kinds: F.concat(*[_spans(F.col(f"__pii_{k.name}"), F.split(text, k.pattern, -1), k) for k in kinds])
+    out = out.withColumns({f"__pii_{k.name}": matches(k) for k in kinds})
+    met = sum((F.size(F.col(f"__pii_{k.name}")) for k in kinds[1:]), F.size(F.col(f"__pii_{kinds[0].name}"))) > 0
+    out = out.withColumns({"__pii_chunks": F.when(met, _chunks(text)), "__pii_size": F.length(text)})
+    spans = lambda some: F.concat(*[_spans(F.col(f"__pii_{k.name}"), F.split(text, k.pattern, -1), k, F.col("__pii_chunks"), F.col("__pii_size")) for k in some])
     out = out.withColumns({"__pii_base": spans(BASE), "__pii_more": spans(ADDED)})
-    more = F.filter("__pii_more", lambda s: (s["score"] >= threshold) & ~F.exists("__pii_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return out.withColumn("pii", F.concat("__pii_base", more)).drop("__pii_text", "__pii_digit", "__pii_base", "__pii_more", *[f"__pii_{k.name}" for k in BASE + ADDED])
+    apart = lambda s: (s["kind"] == "secret") | ~F.exists("__pii_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    more = F.filter("__pii_more", lambda s: (s["score"] >= threshold) & apart(s))
+    return out.withColumn("pii", F.concat("__pii_base", more)).drop("__pii_text", "__pii_digit", "__pii_chunks", "__pii_size", "__pii_base", "__pii_more", *[f"__pii_{k.name}" for k in kinds])
 
 
 def mask(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with each span of personal data replaced by its kind in angle brackets; other columns and their order stay.
 
-    Overlapping spans count as one, under the name of the first. Null texts stay null.
+    Overlapping spans count as one, under the name of the first. Null texts stay null, empty ones empty; very long ones are
+    masked whole. Repeated rows are treated alike, no rows give no rows.
     """
     names = docs.columns
     plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
     body = f"c{names.index(text_col)}"
     found, text = find(plain, body, threshold), F.col(body)
-    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
-    found = found.withColumn("__pii_chunks", F.when(F.size("pii") > 0, chunks))
-
-    def piece(a: Column, b: Column) -> Column:
-        first = F.floor(a / CHUNK).cast("int")
-        joined = F.array_join(F.slice("__pii_chunks", first + 1, F.floor((b - 1) / CHUNK).cast("int") - first + 1), "")
-        return F.when(a < b, F.substring(joined, a % CHUNK + 1, b - a)).otherwise("")
+    found = found.withColumn("__pii_chunks", F.when(F.size("pii") > 0, _chunks(text)))
+    piece = lambda a, b: _piece(F.col("__pii_chunks"), a, b)
 
     def step(at: Column, s: Column) -> tuple[Column, Column]:
         more = F.array(piece(at, s["start"]), F.when(s["kind"] == "", "").otherwise(F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))))
@@ -169,4 +238,5 @@ def digest(found: DataFrame) -> dict[str, Column]:
     told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda n: F.size(F.filter("pii", lambda s: s["kind"] == n)).cast("long")
     counts = {f"n_{n}": count(n) for n in names}
+    counts["n_spans"] = F.size("pii").cast("long")
     return counts | {"base_sha256": F.sha2(told(F.filter("pii", lambda s: s["kind"].isin(*names))), 256), "spans": told(F.col("pii"))}
