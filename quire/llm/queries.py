@@ -39,9 +39,8 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.createDataFrame([(u,) for u in url_filter.LISTED], "url string")
-    judged = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), url_filter.rule_table(spark, url_filter.RULES), listed)
-    return judged.select("page_id", "host", "path", "rule", "verdict")
+    judged = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), url_filter.rule_table(spark, url_filter.RULES), url_filter.listed_urls(spark))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,11 +102,23 @@ ORACLES: dict[str, str] = {
             select n, arg_max(rule, length(rule)) as rule, arg_max(verdict, length(rule)) as verdict
             from urls join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
             group by n
-        )
-        select page_id, host, path, fits.rule as rule,
-            coalesce(fits.verdict, case when regexp_replace(regexp_replace(host, '^www\\.', ''), '\\.?(:[0-9]*)?\\z', '')
-                in ({", ".join(f"'{u}'" for u in url_filter.LISTED)}) then 'block' else 'allow' end) as verdict
-        from urls left join fits using (n)
+        ),
+        hosts(listed) as (values {", ".join(f"('{h}')" for h in url_filter.LISTED_HOSTS)}),
+        folders(folder) as (values {", ".join(f"('{h}/{f}/')" for h in url_filter.PAGE_HOSTS for f in url_filter.PAGE_FOLDERS)}),
+        listed_pages as (select folder || k as listed from folders, range(0, {url_filter.PAGE_END}, {url_filter.PAGE_STEP}) r(k)),
+        bare as (
+            select n, regexp_replace(regexp_replace(host, '^www\\.', ''), '\\.?(:[0-9]*)?\\z', '') as bare_host, regexp_replace(path, '/+\\z', '') as bare_path
+            from urls
+        ),
+        found as (
+            select n, listed from bare join hosts on bare_host = listed or ends_with(bare_host, '.' || listed)
+            union all
+            select n, listed from bare join listed_pages on bare_host || bare_path = listed
+        ),
+        longest as (select n, arg_max(listed, length(listed)) as listed from found group by n)
+        select page_id, host, path, fits.rule as rule, longest.listed as listed,
+            coalesce(fits.verdict, case when longest.listed is not null then 'block' else 'allow' end) as verdict
+        from urls left join fits using (n) left join longest using (n)
     """,
     "op7_chat_rotation": f"""
         with d as (select distinct conv_id, turn, role, coalesce(text, '') as text from conversations),

@@ -1,8 +1,8 @@
 """URL filters: rules and listed canonical URLs behind a blocked Bloom filter, confirmed by an exact hash join.
 
 A rule fits its host and all subdomains where the path starts with the rule's; a listed canonical URL fits itself, and
-one without a path its whole host. A (host, path) asks for one key per host suffix and rule path length, and for its
-canonical forms. Keys pass the filter first: 256-bit blocks, of which a key touches one, with one bit in each of its
+one without a path its host and all subdomains. A (host, path) asks for one key per host suffix and rule path length, for its
+canonical form, and for its host's suffixes. Keys pass the filter first: 256-bit blocks, of which a key touches one, with one bit in each of its
 eight 32-bit words. Keys that pass are joined exactly with the list, which takes false positives out.
 
 The filter is built by an aggregation over the list (one row a block). It is broadcast while it has at most
@@ -21,7 +21,7 @@ from quire.llm.common import materialise
 BITS_PER_KEY = 16
 BLOCK_BITS = 256
 BROADCAST_BLOCKS = 65_536
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 10_000
 
 # The rules of the registered query, in their order.
 RULES = [
@@ -31,8 +31,19 @@ RULES = [
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
-# Listed canonical URLs of the registered query.
-LISTED = [f"ads-track.example.{top}" for top in ("com", "net", "org")]
+# Listed hosts of the registered query, and hosts of which some pages are listed.
+LISTED_HOSTS = [f"{name}.example.{top}" for name in ("ads-track", "casino-win", "cheap-pills", "free-bets") for top in ("com", "net", "org")]
+PAGE_HOSTS = [f"{name}.example.{top}" for name in ("ththan", "therhe", "ththnd") for top in ("com", "net", "org")]
+PAGE_FOLDERS = ["en", "fr", "es"]
+PAGE_STEP, PAGE_END = 7, 60_000
+
+
+def listed_urls(spark: SparkSession) -> DataFrame:
+    """The canonical URLs that the registered query blocks: whole hosts, and every seventh page of some folders."""
+    hosts = spark.createDataFrame([(u,) for u in LISTED_HOSTS], "url string")
+    folders = spark.createDataFrame([(f"{h}/{f}/",) for h in PAGE_HOSTS for f in PAGE_FOLDERS], "folder string")
+    numbered = folders.select("folder", F.explode(F.sequence(F.lit(0), F.lit(PAGE_END - 1), F.lit(PAGE_STEP))).alias("k"))
+    return hosts.unionByName(numbered.select(F.concat("folder", F.col("k").cast("string")).alias("url")))
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -88,36 +99,45 @@ def might_hold(asked: DataFrame, key: str, listed: DataFrame, listed_key: str, b
     return probe.where(met).drop("__block", *[f"w{w}" for w in range(8)])
 
 
-def _keys(rules: DataFrame, host: Column, path: Column) -> Column:
+def _keys(lengths: list[int], rule_labels: int, listed_labels: int, host: Column, path: Column) -> Column:
     """Every key under which the list may hold a (host, path)."""
-    shape = rules.agg(F.collect_set(F.length("rule_path")).alias("lengths"), F.max(F.size(F.split("rule_host", r"\."))).alias("labels")).first()
-    lengths, labels = sorted(shape["lengths"]), shape["labels"] or 0
-    words = F.split(host, r"\.")
-    depths = F.sequence(F.lit(1), F.least(F.lit(labels), F.size(words)))
-    hosts = F.transform(depths, lambda k: F.array_join(F.slice(words, -k, k), ".")) if labels else F.array().cast("array<string>")
+
+    def suffixes(h: Column, labels: int) -> Column:
+        words = F.split(h, r"\.")
+        depths = F.sequence(F.lit(1), F.least(F.lit(labels), F.size(words)))
+        return F.transform(depths, lambda k: F.array_join(F.slice(words, -k, k), ".")) if labels else F.array().cast("array<string>")
+
     prefixes = F.array_compact(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths])) if lengths else F.array().cast("array<string>")
-    of_rules = F.flatten(F.transform(hosts, lambda h: F.transform(prefixes, lambda p: F.concat(F.lit("r "), h, F.lit(" "), p))))
-    return F.array_distinct(F.concat(of_rules, F.array(F.concat(F.lit("u "), canonical(host, path)), F.concat(F.lit("u "), canonical(host, F.lit(""))))))
+    of_rules = F.flatten(F.transform(suffixes(host, rule_labels), lambda h: F.transform(prefixes, lambda p: F.concat(F.lit("r "), h, F.lit(" "), p))))
+    of_hosts = F.transform(suffixes(canonical(host, F.lit("")), listed_labels), lambda h: F.concat(F.lit("u "), h))
+    return F.array_distinct(F.concat(of_rules, of_hosts, F.array(F.concat(F.lit("u "), canonical(host, path)))))
 
 
 def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, url_col: str = "url", broadcast_blocks: int = BROADCAST_BLOCKS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """pages with host, path, rule, listed (the entry that fits, or null) and verdict (allow or block) added.
 
     rules: rule, rule_host, rule_path, verdict, the longest rule wins, equal lengths go to the smaller rule; listed:
-    url (canonical; entries block), a rule that fits goes before it. Null urls and urls without `://` have empty host
-    and path, and are allowed unless a rule or entry is empty too. Null rules and entries are ignored, repeated ones
-    count once. Repeated pages keep their rows; columns of those names in pages are replaced.
+    url (canonical; entries block, the longest is told), a rule that fits goes before it. Null urls and urls without `://`
+    have empty host and path, and are allowed unless a rule or entry is empty too; very long urls are read whole. Null rules
+    and entries are ignored, repeated ones count once. Repeated pages keep their rows, no pages give no rows; columns of
+    those names in pages are replaced.
     """
     host, path = parts(pages[url_col].cast("string"))
     pages = pages.drop("host", "path", "rule", "listed", "verdict").withColumns({"host": host, "path": path})
     rules = rules.dropna(subset=["rule_host", "rule_path", "verdict"])
-    entries = rules.select(F.concat(F.lit("r "), "rule_host", F.lit(" "), "rule_path").alias("key"), F.struct(F.length("rule").alias("size"), "rule", "verdict").alias("entry"))
-    urls = listed.where("url is not null").select(F.concat(F.lit("u "), "url").alias("key"), F.struct(F.lit(-1).alias("size"), F.col("url").alias("rule"), F.lit("block").alias("verdict")).alias("entry"))
-    entries = entries.unionByName(urls).groupBy("key").agg(F.max("entry").alias("entry"))
-    asked = pages.select("host", "path").distinct().select("host", "path", F.explode(_keys(rules, F.col("host"), F.col("path"))).alias("key"))
+    listed = listed.where("url is not null")
+    entry = lambda size, rule, verdict, from_list: F.struct((-size).alias("size"), rule.alias("rule"), verdict.alias("verdict"), F.lit(from_list).alias("listed")).alias("entry")
+    entries = rules.select(F.concat(F.lit("r "), "rule_host", F.lit(" "), "rule_path").alias("key"), entry(F.length("rule"), F.col("rule"), F.col("verdict"), False))
+    entries = entries.unionByName(listed.select(F.concat(F.lit("u "), "url").alias("key"), entry(F.length("url"), F.col("url"), F.lit("block"), True)))
+    entries = entries.groupBy("key").agg(F.min("entry").alias("entry"))
+    labels = lambda h: F.coalesce(F.max(F.size(F.split(h, r"\."))), F.lit(0))
+    shape = rules.agg(F.collect_set(F.length("rule_path")).alias("lengths"), labels("rule_host").alias("labels")).first()
+    of_hosts = listed.where(~F.contains("url", F.lit("/"))).agg(labels("url").alias("labels")).first()["labels"]
+    keys = _keys(sorted(shape["lengths"]), shape["labels"], of_hosts, F.col("host"), F.col("path"))
+    asked = pages.select("host", "path").distinct().select("host", "path", F.explode(keys).alias("key"))
     hits = might_hold(asked, "key", entries, "key", broadcast_blocks).join(entries, "key")
-    best = lambda wanted: F.max(F.when(wanted, F.struct("entry.size", F.col("entry.rule").alias("rule"), F.col("entry.verdict").alias("verdict"))))
-    verdicts = hits.groupBy("host", "path").agg(best(F.col("entry.size") >= 0).alias("r"), best(F.col("entry.size") < 0).alias("u"))
+    best = lambda wanted: F.min(F.when(wanted, F.col("entry")))
+    verdicts = hits.groupBy("host", "path").agg(best(~F.col("entry.listed")).alias("r"), best(F.col("entry.listed")).alias("u"))
     verdicts = materialise(verdicts.select("host", "path", F.col("r.rule").alias("rule"), F.col("u.rule").alias("listed"), F.coalesce("r.verdict", "u.verdict").alias("verdict")), "verdicts")
     size = verdicts.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("host") + F.length("path")), F.lit(0)).alias("chars")).first()
     if size["n"] <= broadcast_rows and size["chars"] <= 100 * broadcast_rows:

@@ -238,6 +238,17 @@ def test_bloom_filter(spark):
         assert {f"k{k}" for k in range(500)} <= passed and len(passed) < 700
 
 
+def test_no_verdict_depends_on_what_is_broadcast(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    rows = [sorted(map(str, url_filter.judge(pages, url_filter.rule_table(spark, url_filter.RULES), url_filter.listed_urls(spark), broadcast_blocks=b, broadcast_rows=n).collect())) for b, n in ((10_000, 10_000), (0, 0))]
+    assert rows[0] == rows[1]
+
+
+def test_list_decides_some_verdicts(spark):
+    got = queries.op3_url_filter(spark, "/root/testdata/sf0.1").groupBy("verdict").agg(F.count_if(F.expr("rule is null and listed is not null")).alias("n"), F.count("*").alias("all")).collect()
+    assert {r.verdict: r.n > 0 for r in got} == {"allow": False, "block": True}
+
+
 def test_url_odd(spark):
     urls = [None, "", "no scheme", "https://", "HTTP://A.Example.COM/en/7x?q#f", "x://notexample.com/en/7", "x://net/de/", "x://a.example.net/de/8", "x://www.bad.org:80/p/", "x://bad.org/p?z", "x://bad.org/p2", "x://bad.org/p"]
     pages = spark.createDataFrame([(k, u, "c") for k, u in enumerate(urls)] + [(4, urls[4], "c")], "page_id long, url string, host string")
@@ -248,6 +259,11 @@ def test_url_odd(spark):
     assert got[5] == ("notexample.com", "/en/7", "com/en/", "block")
     assert got[6][2:] == ("net/de/", "allow") and got[7][2:] == ("example.net/de/8", "block")
     assert [got[k][3] for k in (8, 9, 10, 11)] == ["block", "block", "allow", "block"]
+    hosts = spark.createDataFrame([("bad.org",), ("www2.bad.org",), ("a.b.c.d.e",)], "url string")
+    asked = ["x://bad.org", "x://A.b.Bad.ORG./p", "x://www.bad.org", "x://notbad.org", "x://www2.bad.org:80/q", "x://org", "x://z.a.b.c.d.e/", "x://b.c.d.e/"]
+    more = spark.createDataFrame([(k, u) for k, u in enumerate(asked)], "page_id long, url string")
+    told = {r.page_id: r.listed for r in url_filter.judge(more, url_filter.rule_table(spark, []), hosts).collect()}
+    assert [told[k] for k in range(len(asked))] == ["bad.org", "bad.org", "bad.org", None, "www2.bad.org", None, "a.b.c.d.e", None]
     assert url_filter.judge(pages, url_filter.rule_table(spark, []).limit(0), listed.limit(0)).where("verdict = 'block'").count() == 0
     assert url_filter.judge(pages.limit(0), url_filter.rule_table(spark, url_filter.RULES), listed).count() == 0
 
