@@ -1,10 +1,11 @@
 """Approximate nearest neighbours by cosine: an NN-descent graph, and greedy search of the graph for queries.
 
 Nodes are the different vectors; equal vectors share a node that keeps the smallest ids, as many as an answer can
-need. A forest of random-hyperplane trees, fitted on a bounded sample, puts every node into one leaf a tree; the best
-partners inside a leaf start the graph. A round of NN-descent then joins each node's neighbours with one another:
-a group around node g holds the nodes on either end of g's edges, and every member keeps what it finds there that
-is nearer than its worst neighbour. A node that many lists name has its group dealt into blocks, each with all of the
+need. A few random-hyperplane trees, fitted on a bounded sample, put every node into one small leaf a tree; the best
+partners inside a leaf start the graph, at any size of the table. A round of NN-descent then joins each node's neighbours
+with one another: a group around node g holds the nodes on either end of g's edges, and every member keeps what it finds
+there that is nearer than its worst neighbour. Pairs that met around g before are not taken again. Rounds end when they
+bring next to nothing. A node that many lists name has its group dealt into blocks, each with all of the
 node's own neighbours, so that a neighbour's neighbour is always met while no group is large.
 
 A query starts from its own node's neighbours and repeatedly expands what is best in its beam and not yet expanded. The
@@ -27,8 +28,11 @@ from quire.llm.common import discard, draw, free_shuffles, materialise
 
 SAMPLE = 20_000
 GROUP = 256
+LEAF, TREES, ROUNDS = 128, 2, 12
+GAIN = 0.002
 BROADCAST_BYTES = 32 << 20
-LISTS = "u long, vs binary, ss binary"
+#: A node, its neighbours, their similarities, and whether each is fresh: not yet met by the node's other neighbours.
+LISTS = "u long, vs binary, ss binary, fs binary"
 
 
 def _matrix(column: pa.Array, kind: type) -> np.ndarray:
@@ -36,8 +40,9 @@ def _matrix(column: pa.Array, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1)
 
 
-def _lists(u: np.ndarray, vs: list[np.ndarray], ss: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array([v.astype("<i8").tobytes() for v in vs], pa.binary()), pa.array([s.astype("<f4").tobytes() for s in ss], pa.binary())], ["u", "vs", "ss"])
+def _lists(u: np.ndarray, vs: list[np.ndarray], ss: list[np.ndarray], fs: list[np.ndarray] | None = None) -> pa.RecordBatch:
+    fresh = [b"\x01" * len(v) for v in vs] if fs is None else [f.astype(np.uint8).tobytes() for f in fs]
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array([v.astype("<i8").tobytes() for v in vs], pa.binary()), pa.array([s.astype("<f4").tobytes() for s in ss], pa.binary()), pa.array(fresh, pa.binary())], ["u", "vs", "ss", "fs"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int, limit: int) -> Iterator[list[np.ndarray | pa.Array]]:
@@ -157,75 +162,80 @@ def _leaf_lists(nodes: DataFrame, total: int, degree: int, leaf: int, trees: int
 
 
 def _merge(lists: DataFrame, degree: int) -> DataFrame:
-    """One list a node: the `degree` nearest of all its lists."""
+    """One list a node: the `degree` nearest of all its lists. A neighbour that any list has as not fresh isn't fresh."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, np.ndarray, np.ndarray]] = []
-        at, vs, ss = None, None, None
+        out: list[tuple] = []
+        at, held = None, []
 
-        def best(vs: np.ndarray, ss: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            vs, first = np.unique(vs, return_index=True)
-            order = np.argsort(-ss[first], kind="stable")[:degree]
-            return vs[order], ss[first][order]
+        def best() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            vs, ss, fs = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((fs, vs))
+            order = order[np.append(True, vs[order][1:] != vs[order][:-1])] if len(order) else order
+            order = order[np.argsort(-ss[order], kind="stable")[:degree]]
+            return vs[order], ss[order], fs[order]
 
         for batch in batches:
-            for u, v, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                v, s = np.frombuffer(v, "<i8"), np.frombuffer(s, "<f4")
+            for u, *packed in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if u != at:
                     if at is not None:
-                        held.append((at, *best(np.concatenate(vs), np.concatenate(ss))))
-                    at, vs, ss = u, [v], [s]
-                else:
-                    vs.append(v)
-                    ss.append(s)
-                    if len(vs) >= 512:
-                        vs, ss = map(lambda x: [x], best(np.concatenate(vs), np.concatenate(ss)))
-                if len(held) >= 2000:
-                    yield _lists(*map(list, zip(*held, strict=True)))
-                    held = []
+                        out.append((at, *best()))
+                    at, held = u, []
+                held.append(tuple(np.frombuffer(x, kind) for x, kind in zip(packed, ("<i8", "<f4", np.uint8), strict=True)))
+                if len(held) >= 512:
+                    held = [best()]
+                if len(out) >= 2000:
+                    yield _lists(*map(list, zip(*out, strict=True)))
+                    out = []
         if at is not None:
-            held.append((at, *best(np.concatenate(vs), np.concatenate(ss))))
-        if held:
-            yield _lists(*map(list, zip(*held, strict=True)))
+            out.append((at, *best()))
+        if out:
+            yield _lists(*map(list, zip(*out, strict=True)))
 
     return lists.repartition("u").sortWithinPartitions("u").mapInArrow(run, LISTS)
 
 
 def _edges(graph: DataFrame) -> DataFrame:
-    """u, v for each edge, and least: the similarity of u's worst neighbour is in the lists, not here."""
+    """u, v and fresh for each edge."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vs = [np.frombuffer(v, "<i8") for v in batch.column(1).to_pylist()]
+            vs, fs = ([np.frombuffer(v, kind) for v in batch.column(k).to_pylist()] for k, kind in ((1, "<i8"), (2, np.uint8)))
             if vs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), [len(v) for v in vs]), pa.int64()), pa.array(np.concatenate(vs), pa.int64())], ["u", "v"])
+                ends = np.repeat(batch.column(0).to_numpy(), [len(v) for v in vs])
+                yield pa.RecordBatch.from_arrays([pa.array(ends, pa.int64()), pa.array(np.concatenate(vs), pa.int64()), pa.array(np.concatenate(fs) > 0, pa.bool_())], ["u", "v", "fresh"])
 
-    return graph.mapInArrow(run, "u long, v long")
+    return graph.select("u", "vs", "fs").mapInArrow(run, "u long, v long, fresh boolean")
 
 
 def _descent_round(nodes: DataFrame, graph: DataFrame, degree: int, keep: int) -> DataFrame:
+    """The graph after each node's neighbours have met one another; pairs that met in an earlier round are not taken again."""
     edges = materialise(_edges(graph), "edges")
     named = edges.groupBy(F.col("v").alias("g")).count().where(F.col("count") > GROUP).select("g", F.ceil(F.col("count") / GROUP).cast("int").alias("blocks"))
-    back = edges.select(F.col("v").alias("g"), F.col("u").alias("m")).join(named, "g", "left").select("g", F.coalesce(F.pmod(F.xxhash64("m"), "blocks").cast("int"), F.lit(0)).alias("block"), "m")
-    ahead = edges.select(F.col("u").alias("g"), F.col("v").alias("m")).join(named, "g", "left").select("g", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("block"), "m")
-    members = back.unionByName(ahead).distinct()
+    back = edges.select(F.col("v").alias("g"), F.col("u").alias("m"), "fresh").join(named, "g", "left").select("g", F.coalesce(F.pmod(F.xxhash64("m"), "blocks").cast("int"), F.lit(0)).alias("block"), "m", "fresh")
+    ahead = edges.select(F.col("u").alias("g"), F.col("v").alias("m"), "fresh").join(named, "g", "left").select("g", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("block"), "m", "fresh")
+    members = back.unionByName(ahead).groupBy("g", "block", "m").agg(F.max("fresh").alias("fresh"))
 
     def worst(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ss = [np.frombuffer(s, "<f4") for s in batch.column(2).to_pylist()]
+            ss = [np.frombuffer(s, "<f4") for s in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([float(s.min()) if len(s) >= degree else -9.0 for s in ss], pa.float32())], ["m", "worst"])
 
-    known = nodes.select(F.col("node").alias("m"), "h").join(graph.mapInArrow(worst, "m long, worst float"), "m")
+    known = nodes.select(F.col("node").alias("m"), "h").join(graph.select("u", "ss").mapInArrow(worst, "m long, worst float"), "m")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         us, vs, ss = [], [], []
         for run in _runs(batches, 2, 4 * GROUP):
-            ids, h = run.column(2).to_numpy(), _matrix(run.column(3).combine_chunks(), "<f2").astype(np.float32)
+            ids, h = run.column(2).to_numpy(), _matrix(run.column(4).combine_chunks(), "<f2").astype(np.float32)
+            fresh = run.column(3).to_numpy()
+            if not fresh.any():
+                continue
             sims = h @ h.T
+            sims[~(fresh[:, None] | fresh[None, :])] = -9
             np.fill_diagonal(sims, -9)
             best = _top(sims, min(keep, len(ids)))
             got = np.take_along_axis(sims, best, 1)
-            nearer = got > np.maximum(run.column(4).to_numpy(), -8)[:, None]
+            nearer = got > np.maximum(run.column(5).to_numpy(), -8)[:, None]
             for k in np.flatnonzero(nearer.any(axis=1)):
                 us.append(ids[k])
                 vs.append(ids[best[k][nearer[k]]])
@@ -236,27 +246,46 @@ def _descent_round(nodes: DataFrame, graph: DataFrame, degree: int, keep: int) -
         if us:
             yield _lists(us, vs, ss)
 
-    met = members.join(known, "m").select("g", "block", "m", "h", "worst")
+    met = members.join(known, "m").select("g", "block", "m", "fresh", "h", "worst")
     found = met.repartition("g", "block").sortWithinPartitions("g", "block", "m").mapInArrow(join, LISTS)
-    out = materialise(_merge(graph.unionByName(found), degree), "graph")
+    stale = F.expr("lpad(x'', cast(octet_length(vs) / 8 as int), x'00')")
+    out = materialise(_merge(graph.withColumn("fs", stale).unionByName(found), degree), "graph")
     discard(edges)
     return out
 
 
-def build_graph(nodes: DataFrame, degree: int = 32, leaf: int = 2048, trees: int = 8, rounds: int = 3, keep: int = 10) -> DataFrame:
-    """u, vs, ss: each node's nearest nodes as found, packed, best first. nodes has to be a written table."""
-    total = nodes.count()
-    graph = materialise(_merge(_leaf_lists(nodes, total, degree, leaf, trees), degree), "graph")
+def _nearness(graph: DataFrame) -> float:
+    """Sum of all similarities in the graph."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = [float(np.frombuffer(s, "<f4").sum(dtype=np.float64)) for s in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([sum(sums)], pa.float64())], ["s"])
+
+    return graph.select("ss").mapInArrow(run, "s double").agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("s")).first()["s"]
+
+
+def build_graph(nodes: DataFrame, degree: int = 32, leaf: int = LEAF, trees: int = TREES, rounds: int = ROUNDS, keep: int = 10) -> DataFrame:
+    """u, vs, ss: each node's nearest nodes as found, packed, best first. nodes has to be a written table.
+
+    Rounds go on until one raises the sum of all similarities by less than GAIN of it, `rounds` at most.
+    """
+    graph = materialise(_merge(_leaf_lists(nodes, nodes.count(), degree, leaf, trees), degree), "graph")
+    before = _nearness(graph)
     free_shuffles(nodes.sparkSession)
-    for _ in range(rounds if total > leaf else 0):
+    for _ in range(rounds):
         after = _descent_round(nodes, graph, degree, keep)
         discard(graph)
         graph = after
         free_shuffles(nodes.sparkSession)
+        now = _nearness(graph)
+        if now - before < GAIN * abs(now):
+            break
+        before = now
     return graph
 
 
-def search_graph(nodes: DataFrame, graph: DataFrame, starts: DataFrame, beam: int = 128, max_hops: int = 60) -> DataFrame:
+def search_graph(nodes: DataFrame, graph: DataFrame, starts: DataFrame, beam: int = 128, max_hops: int = 200) -> DataFrame:
     """q, w, s: the `beam` best nodes found for each node q of starts (distinct), by greedy search from q's neighbours."""
     spark = nodes.sparkSession
     edges = materialise(_edges(graph), "edges")
@@ -279,7 +308,7 @@ def search_graph(nodes: DataFrame, graph: DataFrame, starts: DataFrame, beam: in
     for _ in range(max_hops):
         ahead = pool.where("not done")
         if ahead.isEmpty():
-            break
+            return pool
         reached = ahead.select("q", F.col("w").alias("u")).join(edges, "u").select("q", F.col("v").alias("w")).where("q != w").distinct()
         fresh = score(reached.join(pool.select("q", "w"), ["q", "w"], "left_anti")).withColumn("done", F.lit(False))
         both = pool.withColumn("done", F.lit(True)).unionByName(fresh).repartition("q")
@@ -287,10 +316,10 @@ def search_graph(nodes: DataFrame, graph: DataFrame, starts: DataFrame, beam: in
         discard(pool)
         pool = after
         free_shuffles(spark)
-    return pool
+    raise RuntimeError(f"searches that have not ended after {max_hops} hops")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", degree: int = 32, leaf: int = 2048, trees: int = 8, rounds: int = 3, beam: int = 128, rerank: int = 32) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", degree: int = 32, leaf: int = LEAF, trees: int = TREES, rounds: int = ROUNDS, beam: int = 128, rerank: int = 32) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each row of vectors whose id is in queries (id_col).
 
     Rows with a null id, and vectors that are null, empty, zero or hold null or non-finite components take no part, neither as
