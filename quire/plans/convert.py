@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.functions import text as T
 from quire.operators import blocks, chunk, diagnostics, render
+from quire.plans import artifacts
 from quire.sources import epub, files
+from quire.sources.shared import fresh_path
 
 
 @dataclass
@@ -20,6 +23,7 @@ class Conversion:
     chunks: DataFrame
     sizes: chunk.Sizes
     back_matter: bool = False
+    broken: DataFrame | None = None  # book and error of the archives that could not be read
 
     @property
     def stats(self) -> DataFrame:
@@ -53,26 +57,53 @@ class Conversion:
     def chunk_diagnostics(self) -> DataFrame:
         return diagnostics.chunk_diagnostics(self.chunks, self.sizes)
 
-    def written(self, path: str) -> Conversion:
-        """The same with its tables written under path and read from there."""
+    @property
+    def snapshot(self) -> DataFrame:
+        return diagnostics.regression_snapshot(self.books, self.chapters, self.chunks)
+
+    def written(self, path: str | None = None) -> Conversion:
+        """The same with its tables written under path (by default in the shared folder) and read from there."""
         spark, made = self.books.sparkSession, {}
+        path = path or fresh_path(spark, "conversion")
         for name in ("books", "chapters"):
             getattr(self, name).write.parquet(f"{path}/{name}")
             made[name] = spark.read.parquet(f"{path}/{name}")
         chunks = chunk.build_chunks(made["books"], made["chapters"], self.sizes, self.back_matter)
         chunks.write.parquet(f"{path}/chunks")
-        return Conversion(made["books"], made["chapters"], spark.read.parquet(f"{path}/chunks"), self.sizes, self.back_matter)
-
-    def write(self, path: str) -> None:
-        """All artifacts under path, each table in a folder of its own. Chapters and chunks are made once, and read from there."""
-        self = self.written(f"{path}/tables")
-        files.write_lines(files.chunk_lines(self.chunks), f"{path}/chunks")
-        files.write_documents(self.markdown.withColumn("name", F.lit("book")), f"{path}/markdown")
-        files.write_documents(self.chapter_markdown.withColumnRenamed("id", "name"), f"{path}/chapters")
-        files.write_documents(self.debug_markdown.withColumn("name", F.lit("debug")), f"{path}/debug")
-        tables = {"metadata": self.books, "toc": self.toc, "stats": self.stats, "diagnostics/summary": self.summary, "diagnostics/chapters": self.chapter_diagnostics, "diagnostics/chunks": self.chunk_diagnostics}
-        for name, rows in tables.items():
-            files.write_records(rows, f"{path}/{name}")
+        return Conversion(made["books"], made["chapters"], spark.read.parquet(f"{path}/chunks"), self.sizes, self.back_matter, self.broken)
+
+    def artifacts(self) -> DataFrame:
+        """book, name, content: every file of every book, by the names under which `write` puts them.
+
+        A book is `<base>.md` and the folder `<base>` with debug.md, chapters/<id>.md, metadata.json, toc.json, stats.json,
+        diagnostics.json and chunks.jsonl. base is the archive's name without its extension; of equal ones, those after
+        the first in the order of their paths get a number.
+        """
+        plain = T.output_name(F.col("source_path"), "")
+        nth = F.row_number().over(Window.partitionBy("base").orderBy("book"))
+        bases = self.books.select("book", plain.alias("base")).withColumn("nth", nth)
+        bases = bases.select("book", F.when(F.col("nth") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), "nth")).alias("base"))
+        lines = files.chunk_lines(self.chunks).groupBy("book").agg(F.transform(F.sort_array(F.collect_list(F.struct("sequence", "line"))), lambda x: F.concat(x["line"], F.lit("\n"))).alias("lines"))
+        of = lambda rows, name, content: rows.select("book", name.alias("file"), content.alias("content"))
+        parts = [
+            of(self.markdown, F.lit(".md"), F.col("markdown")),
+            of(self.debug_markdown, F.lit("/debug.md"), F.col("markdown")),
+            of(self.chapter_markdown, F.concat(F.lit("/chapters/"), T.safe_name(F.col("id")), F.lit(".md")), F.col("markdown")),
+            of(lines, F.lit("/chunks.jsonl"), F.array_join("lines", "")),
+            *[of(rows, F.lit(f"/{name}.json"), files.indent_json(F.col("json"))) for name, rows in artifacts.json_documents(self).items()],
+        ]
+        out = parts[0]
+        for more in parts[1:]:
+            out = out.unionByName(more)
+        return out.join(bases, "book").select("book", F.concat("base", "file").alias("name"), "content")
+
+    def write(self, path: str) -> int:
+        """All artifacts under path, written from the tasks; how many. Chapters and chunks are made once."""
+        return files.write_files(self.written().artifacts(), path)
+
+    def write_snapshot(self, path: str) -> None:
+        """The regression snapshot of all books as one JSON array, by file name."""
+        files.write_json_array(artifacts.snapshot_records(self.snapshot).orderBy("fileName"), path)
 
 
 def convert(spark: SparkSession, path: str, sizes: chunk.Sizes = chunk.Sizes(), back_matter: bool = False) -> Conversion:
@@ -82,4 +113,4 @@ def convert(spark: SparkSession, path: str, sizes: chunk.Sizes = chunk.Sizes(),
 
 def convert_library(library: epub.Library, sizes: chunk.Sizes = chunk.Sizes(), back_matter: bool = False) -> Conversion:
     chapters = blocks.normalize_chapters(library.chapters)
-    return Conversion(library.books, chapters, chunk.build_chunks(library.books, chapters, sizes, back_matter), sizes, back_matter)
+    return Conversion(library.books, chapters, chunk.build_chunks(library.books, chapters, sizes, back_matter), sizes, back_matter, library.broken)

@@ -1,7 +1,9 @@
 """EPUB archives as tables: packages, manifests, spines, guides, contents targets, notes and chapters.
 
-Each archive is opened once, by a binary file scan; what follows are joins on the book and a name. Documents are parsed
-one row at a time, with their own contents targets and the notes of their book beside them.
+Each archive is opened once, by a binary file scan, and its package is written to the shared folder; what follows are
+joins on the book and a name over that table, which read only the columns they need. An archive that can't be read
+becomes a row with its error and stops nothing else. Documents are parsed one row at a time, with their own contents
+targets and the notes of their book beside them.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ import hashlib
 import io
 import posixpath
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -22,8 +24,9 @@ from quire.functions import markup as M
 from quire.functions import text as T
 from quire.operators import classify
 from quire.operators.blocks import BLOCKS, NOTES
+from quire.sources.shared import materialise
 
-PACKAGE = """book string, source_path string, source_sha256 string, titles array<string>, creators array<string>,
+PACKAGE = """book string, error string, source_path string, source_sha256 string, titles array<string>, creators array<string>,
     languages array<string>, publishers array<string>, dates array<string>, identifiers array<string>,
     manifest array<struct<id:string,href:string,media_type:string,properties:string>>, spine array<string>,
     guide array<struct<type:string,title:string,href:string>>, entries array<struct<name:string,data:binary>>"""
@@ -31,7 +34,7 @@ MARKUP = (".xhtml", ".html", ".htm", ".xml", ".ncx", ".opf")
 
 
 def read_package(path: str, content: bytes) -> dict:
-    """The parts of an archive's package. A container, a package file or an archive that can't be read is an error."""
+    """The parts of an archive's package. A container, a package file or an entry that can't be read is an error."""
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         infos = {i.filename: i for i in archive.infolist() if not i.is_dir()}
         text = lambda name: archive.read(infos[name]).decode("utf-8-sig", "replace")
@@ -69,13 +72,19 @@ def scan(spark: SparkSession, path: str, pattern: str = "*.epub") -> DataFrame:
     return packages(files)
 
 
-def packages(files: DataFrame) -> DataFrame:
-    """files: path, content."""
+def packages(files: DataFrame, read: Callable[[str, bytes], dict] = read_package) -> DataFrame:
+    """files: path, content. An archive that can't be read has an error, and nothing else but its path and hash."""
+    lists = {f.split()[0]: [] for f in ("titles", "creators", "languages", "publishers", "dates", "identifiers", "manifest", "spine", "guide", "entries")}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"], strict=True):
-                yield pd.DataFrame([{"book": path} | read_package(path, bytes(content))])
+                data = bytes(content) if content is not None else b""
+                try:
+                    row = {"error": None} | read(path, data)
+                except Exception as e:  # whatever is wrong with one archive, the others are read
+                    row = lists | {"error": f"{type(e).__name__}: {e}", "source_path": path, "source_sha256": hashlib.sha256(data).hexdigest()}
+                yield pd.DataFrame([{"book": path} | row])
 
     return files.select("path", "content").mapInPandas(run, PACKAGE)
 
@@ -121,9 +130,8 @@ def toc_targets(package: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for r in frame.itertuples():
-                found = (M.links_of if r.how == "nav" else M.nav_points_of)(r.href, _decode(r.data))
-                yield pd.DataFrame([(r.book, r.pos, r.how, k, *t) for k, t in enumerate(found)], columns=["book", "pos", "how", "k", "href", "fragment", "title"])
+            read = [(r, (M.links_of if r.how == "nav" else M.nav_points_of)(r.href, _decode(r.data))) for r in frame.itertuples()]
+            yield pd.DataFrame([(r.book, r.pos, r.how, k, *t) for r, found in read for k, t in enumerate(found)], columns=["book", "pos", "how", "k", "href", "fragment", "title"])
 
     rows = files.select("book", "pos", "how", "href", "data").mapInPandas(run, "book string, pos int, how string, k int, href string, fragment string, title string")
     return merge_targets(rows)
@@ -149,9 +157,8 @@ def notes(package: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for r in frame.itertuples():
-                found = M.notes_of(r.href, M.parse_html(_decode(r.data)))
-                yield pd.DataFrame([(r.book, r.pos, k, r.href, v) for k, v in found.items()], columns=["book", "pos", "key", "source_ref", "content"])
+            read = [(r, M.notes_of(r.href, M.parse_html(_decode(r.data)))) for r in frame.itertuples()]
+            yield pd.DataFrame([(r.book, r.pos, k, r.href, v) for r, found in read for k, v in found.items()], columns=["book", "pos", "key", "source_ref", "content"])
 
     rows = items.join(entries(package), ["book", "href"]).select("book", "pos", "href", "data").mapInPandas(run, "book string, pos int, key string, source_ref string, content string")
     return rows.groupBy("book", "key").agg(F.max_by(F.struct("source_ref", "content"), "pos").alias("n")).select("book", "key", "n.*")
@@ -194,6 +201,7 @@ def number_chapters(parsed: DataFrame) -> DataFrame:
 class Library:
     books: DataFrame
     chapters: DataFrame
+    broken: DataFrame  # book, error
 
 
 def read_library(spark: SparkSession, path: str, pattern: str = "*.epub") -> Library:
@@ -202,8 +210,10 @@ def read_library(spark: SparkSession, path: str, pattern: str = "*.epub") -> Lib
 
 
 def library_of(package: DataFrame) -> Library:
+    stored = materialise(package, "packages")
+    package, broken = stored.where("error is null"), stored.where("error is not null").select("book", "error")
     known = notes(package).groupBy("book").agg(F.map_from_entries(F.collect_list(F.struct("key", "content"))).alias("notes"))
     documents = spine_documents(package).join(grouped_targets(toc_targets(package)), ["book", "href"], "left").join(known, "book", "left")
     chapters = number_chapters(parse_documents(documents)).withColumn("toc_trimmed", F.lit(0))
     chapters = classify.ensure_main(classify.classify(classify.with_guide(chapters, guide(package))))
-    return Library(books(package), chapters)
+    return Library(books(package), chapters, broken)

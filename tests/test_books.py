@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import shutil
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 from quire.operators import blocks as B
 from quire.operators import chunk, classify, diagnostics, render, retrieval
-from quire.plans.convert import convert
+from quire.plans import artifacts
+from quire.plans.convert import convert, convert_library
 from quire.sources import epub, files
 from quire.streaming.intake import convert_arrivals
 
@@ -76,26 +79,73 @@ def test_diagnostics(made):
 
 
 def test_artifacts(spark, made, tmp_path):
-    made.write(str(tmp_path / "out"))
-    lines = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out/chunks")).collect()]
-    assert len(lines) == 5 and all("id" in x and x.get("headingPath") for x in lines)
-    back = files.read_chunks(spark, str(tmp_path / "out/chunks"))
+    out = tmp_path / "out"
+    assert made.write(str(out)) == made.write(f"file://{out}") == 2 * 7 + 4
+    assert sorted(p.relative_to(out).as_posix() for p in out.rglob("*") if p.is_file()) == sorted(
+        f"{b}{f}" for b in ("en", "zh") for f in (".md", "/debug.md", "/chapters/chapter-001.md", "/chapters/chapter-002.md", "/metadata.json", "/toc.json", "/stats.json", "/diagnostics.json", "/chunks.jsonl")
+    )
+    read = lambda name: json.loads((out / name).read_text())
+    assert (out / "zh.md").read_text().startswith("# 示例图书\n\n### 第一章")
+    assert (out / "zh/toc.json").read_text().startswith('[\n  {\n    "id": "chapter-001",\n    "title": "第一章",\n    "kind": "main",')
+    assert [(x["id"], x["kind"]) for x in read("zh/toc.json")] == [("chapter-001", "main"), ("chapter-002", "backmatter")]
+    assert list(read("en/metadata.json")) == ["title", "authors", "language", "sourcePath", "sourceSha256"]
+    assert read("en/stats.json") == {"chapterCount": 2, "frontMatterCount": 0, "backMatterCount": 0, "chunkCount": 3, "footnoteCount": 2}
+    told = read("en/diagnostics.json")
+    assert list(told) == ["summary", "chapters", "chunks"] and told["summary"]["tocResidualBlocksRemoved"] == 2 and len(told["chunks"]) == 3
+    lines = [json.loads(x) for x in (out / "en/chunks.jsonl").read_text().splitlines()]
+    assert [x["sequence"] for x in lines] == [1, 2, 3] and all("id" in x and x.get("headingPath") for x in lines)
+    back = files.read_chunks(spark, str(out / "*/chunks.jsonl"))
     assert {r.text for r in back.collect()} == {r.text for r in made.chunks.collect()}
     (tmp_path / "q.json").write_text(json.dumps([{"book": "b", "query": "x", "expectedChunks": ["1"], "topK": 0}]))
     assert files.read_eval_queries(spark, str(tmp_path / "q.json")).first().topK == 5
 
 
+def test_snapshot_file(spark, made, tmp_path):
+    path = str(tmp_path / "snapshot.json")
+    made.write_snapshot(path)
+    records = json.loads(open(path).read())
+    assert [r["fileName"] for r in records] == ["en.epub", "zh.epub"]
+    assert list(records[1]) == ["fileName", "stats", "chapterTitles", "chunkFingerprints", "chunkCharacterStats"] and records[1]["chapterTitles"] == ["第一章", "附录"]
+    stored = artifacts.read_snapshot(spark, path)
+    assert artifacts.snapshot_differences(stored, artifacts.snapshot_records(made.snapshot)).count() == 0
+    changed = stored.withColumn("chapterTitles", F.when(F.col("fileName") == "zh.epub", F.array(F.lit("x"))).otherwise(F.col("chapterTitles")))
+    assert [r.fileName for r in artifacts.snapshot_differences(stored, changed.unionByName(stored.where("fileName = 'en.epub'").withColumn("fileName", F.lit("new")))).orderBy("fileName").collect()] == ["new", "zh.epub"]
+
+
 def test_stream(spark, library, tmp_path):
     query = convert_arrivals(spark, str(library), str(tmp_path / "out"), str(tmp_path / "mark"))
     query.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
 
 
-def test_broken_archives(spark, tmp_path):
-    with zipfile.ZipFile(tmp_path / "x.epub", "w") as z:
+def test_broken_archives_stop_nothing(spark, library, tmp_path):
+    shutil.copy(library / "en.epub", tmp_path / "good.epub")
+    with zipfile.ZipFile(tmp_path / "empty.epub", "w") as z:
         z.writestr("a", "b")
-    with pytest.raises(Exception, match="has no container"):
-        epub.scan(spark, str(tmp_path)).collect()
+    (tmp_path / "cut.epub").write_bytes((library / "en.epub").read_bytes()[:200])
+    made = convert(spark, str(tmp_path))
+    errors = {r.book.rpartition("/")[2]: r.error for r in made.broken.collect()}
+    assert set(errors) == {"empty.epub", "cut.epub"} and "has no container" in errors["empty.epub"] and errors["cut.epub"].startswith("BadZipFile")
+    assert {r.book.rpartition("/")[2] for r in made.chapters.collect()} == {"good.epub"} == {r.book.rpartition("/")[2] for r in made.books.collect()}
+
+
+def test_archives_are_opened_once(spark, library, tmp_path):
+    opened = str(tmp_path / "opened")
+
+    def counted(path: str, content: bytes) -> dict:
+        with open(opened, "a") as f:
+            f.write(f"{path}\n")
+        return epub.read_package(path, content)
+
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").load(str(library))
+    made = convert_library(epub.library_of(epub.packages(found, counted)))
+    assert made.chapters.count() == 4 and made.chunks.count() == 5 and made.summary.count() == 2 and made.markdown.count() == 2
+    assert len(open(opened).read().splitlines()) == 2
+
+
+def test_file_hashes(spark, library):
+    for r in epub.scan(spark, str(library)).select("source_path", "source_sha256").collect():
+        assert r.source_sha256 == hashlib.sha256(open(r.source_path.removeprefix("file:"), "rb").read()).hexdigest()
 
 
 def test_last_item_of_an_id_counts(spark):
