@@ -1,15 +1,16 @@
-"""What the training-data operators share: tables, the shared folder, written intermediate tables, components."""
+"""What the training-data operators share: tables, draws, components; written intermediate tables are the library's."""
 
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
-from urllib.parse import unquote, urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.sources.shared import discard, fresh_path, local_or_uri, materialise, shared_dir
+
+__all__ = ["ASCII_LOWER", "connected_components", "discard", "draw", "free_shuffles", "fresh_path", "local_or_uri", "materialise", "shared_dir", "table", "text_bytes"]
+
 #: A-Z to a-z on UTF-8 bytes; every other byte stays.
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -18,63 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. On a local master, where that is unset, a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='quire-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, what: str) -> str:
-    """A path of its own in the shared folder. What is written there goes when the driver ends."""
-    path = f"{shared_dir(spark)}/quire-{what}-{uuid.uuid4().hex}"
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(p)
-    fs.deleteOnExit(p)
-    return path
-
-
-def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage, and survives lost executors."""
-    path = fresh_path(df.sparkSession, what)
-    df.write.mode("overwrite").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._quire_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Removes a written table that nothing reads any more, and lets Spark clean the shuffles behind it."""
-    path = getattr(df, "_quire_path", None)
-    if path:
-        delete_path(df.sparkSession, path)
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def free_shuffles(spark: SparkSession) -> None:
     """Shuffle files go when the driver's JVM finds their owners unreachable; iterative jobs ask for that."""
     gc.collect()
     spark._jvm.System.gc()
 
 
-def local_or_uri(path: str) -> tuple[object, str]:
-    """A pyarrow file system and the path in it, for file://, hdfs:// and object stores alike."""
-    from pyarrow import fs
-
-    if path.startswith("file:") or "://" not in path:
-        return fs.LocalFileSystem(), unquote(urlparse(path).path)
-    return fs.FileSystem.from_uri(path)
-
-
 def text_bytes(column: Column | str) -> Column:
     """UTF-8 bytes of a text column; null counts as empty."""
     c = F.col(column) if isinstance(column, str) else column

@@ -1,10 +1,10 @@
 """Token-id files: raw id payloads in shards, and a minimal perfect hash index from document keys to their places.
 
-Documents are range-partitioned by key, encoded, and written as one `.bin` (ids, little-endian, two bytes each if the
+Documents are range-partitioned by key into shards of bounded size, encoded, and written as one `.bin` (ids, little-endian, two bytes each if the
 vocabulary allows, else four) and one `.idx` file a shard. The index holds the hash's bit levels, and for each slot a
 64-bit key fingerprint, the key, the payload offset and the number of ids. A lookup hashes the key through the
 levels, takes the rank of the bit that it meets as the slot, and compares the fingerprint: constant time, and a key that
-was never stored is turned away. The catalog, one row a shard, gives each shard's key range and first id.
+was never stored is turned away. Documents without a key stand first, outside the hash. The catalog, one row a shard, gives each shard's key range and first id.
 
 Files are written under names of their own for each attempt; only those of attempts that ended well are in the
 catalog, so lost executors and repeated tasks leave nothing wrong behind.
@@ -30,7 +30,8 @@ from quire.llm.common import fresh_path, local_or_uri, materialise, text_bytes
 MAGIC = b"QTOK0001"
 GAMMA = 2.0
 LAST_LEVEL = 64
-NULL_KEY = -(2**63)
+#: Bytes of text in a shard, about; smaller tables have a shard for each of the session's shuffle partitions.
+SHARD_BYTES, LEAST_BYTES = 64 << 20, 1 << 20
 FIXED = np.dtype([("fingerprint", "<u8"), ("key", "<i8"), ("offset", "<u8"), ("n_ids", "<u8"), ("row", "<u4"), ("copies", "<u4")])
 CACHE_PARTS = 250_000
 CACHE_PIECES = 600_000
@@ -82,27 +83,33 @@ def fingerprint(keys: np.ndarray) -> np.ndarray:
     return mix(keys.astype(np.int64).view(np.uint64), 1_000_003)
 
 
-def write_index(keys: np.ndarray, offsets: np.ndarray, counts: np.ndarray, id_bytes: int) -> bytes:
-    """keys in file order, equal ones together; a key that repeats has one slot that tells its first row and its rows."""
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
-    hashed = PerfectHash.build(keys[first])
+def write_index(keys: np.ndarray, offsets: np.ndarray, counts: np.ndarray, id_bytes: int, nulls: int = 0) -> bytes:
+    """keys in file order, equal ones together; a key that repeats has one slot that tells its first row and its rows.
+
+    The first `nulls` rows have no key, whatever stands in keys there, and no slot.
+    """
+    known = keys[nulls:]
+    first = np.flatnonzero(np.append(True, known[1:] != known[:-1])) if len(known) else np.empty(0, np.int64)
+    hashed = PerfectHash.build(known[first])
     slots = np.empty(len(first), FIXED)
-    at = hashed.slots(keys[first])
-    for name, values in (("fingerprint", fingerprint(keys[first])), ("key", keys[first]), ("offset", offsets[first]), ("n_ids", counts[first]), ("row", first), ("copies", np.diff(np.append(first, len(keys))))):
+    at = hashed.slots(known[first])
+    rows = first + nulls
+    for name, values in (("fingerprint", fingerprint(known[first])), ("key", known[first]), ("offset", offsets[rows]), ("n_ids", counts[rows]), ("row", rows), ("copies", np.diff(np.append(first, len(known))))):
         slots[name][at] = values
-    head = json.dumps({"rows": len(keys), "slots": len(first), "id_bytes": id_bytes, "levels": [len(b) for b in hashed.levels]}).encode()
+    head = json.dumps({"rows": len(keys), "nulls": nulls, "slots": len(first), "id_bytes": id_bytes, "levels": [len(b) for b in hashed.levels]}).encode()
     bits = b"".join(np.packbits(b).tobytes() for b in hashed.levels)
     return b"".join([MAGIC, len(head).to_bytes(4, "little"), head, bits, slots.tobytes(), counts.astype("<u8").tobytes()])
 
 
 @dataclass
 class Index:
-    """A shard's index as read from its file. counts: ids of each row in file order."""
+    """A shard's index as read from its file. counts: ids of each row in file order; the first `nulls` rows have no key."""
 
     hashed: PerfectHash
     slots: np.ndarray
     counts: np.ndarray
     id_bytes: int
+    nulls: int
 
     @classmethod
     def parse(cls, raw: bytes) -> Index:
@@ -114,7 +121,7 @@ class Index:
             levels.append(np.unpackbits(np.frombuffer(raw, np.uint8, (n + 7) // 8, at))[:n].astype(bool))
             at += (n + 7) // 8
         slots = np.frombuffer(raw, FIXED, head["slots"], at)
-        return cls(PerfectHash(levels), slots, np.frombuffer(raw, "<u8", head["rows"], at + slots.nbytes), head["id_bytes"])
+        return cls(PerfectHash(levels), slots, np.frombuffer(raw, "<u8", head["rows"], at + slots.nbytes), head["id_bytes"], head["nulls"])
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Slot of each key that is stored, else -1, by hash and fingerprint."""
@@ -124,14 +131,27 @@ class Index:
         return np.where(known, at, -1)
 
 
+# The steps of the tokenizers whose texts fall into parts at white space (see Encoder).
+SPLITTING = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 class Encoder:
     """Ids of a text as the tokenizer's own encode gives them, as little-endian bytes.
 
-    The tokenizer collapses white space, drops it and never joins pieces across it, so a text's ids are those of its
-    white-space-separated parts in turn. Lower-case Latin letters and the ASCII marks after them are pieces of their
-    own that its normaliser leaves as they are, so the library's model takes them directly. Parts and pieces seen
-    before are looked up. The tokenizer's special tokens are found in the raw text with case, so a text that may hold
-    one is encoded whole.
+    A tokenizer of the steps SPLITTING collapses white space, drops it and never joins pieces across it, so a text's ids
+    are those of its white-space-separated parts in turn. Lower-case Latin letters and the ASCII marks after them are pieces
+    of their own that its normaliser leaves as they are, so the library's model takes them directly. Parts and pieces seen
+    before are looked up. Its special tokens, which all begin with `<|`, are found in the raw text with case, so a text that
+    may hold one is encoded whole. Texts of any other tokenizer are all encoded whole by the library.
     """
 
     PLAIN = re.compile("([a-zß-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
@@ -146,6 +166,10 @@ class Encoder:
         self.spelled = str.maketrans({c: split.pre_tokenize_str(c)[0][0] for c in self.LETTERS})
         self.parts: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        told = json.loads(self.tokenizer.to_str())
+        specials = [t["content"] for t in told["added_tokens"]]
+        plain = not any(told[k] for k in ("truncation", "padding", "post_processor")) and told["model"]["type"] == "BPE" and not told["model"]["dropout"]
+        self.splits = plain and all(told[k] == v for k, v in SPLITTING.items()) and all(t.startswith("<|") for t in specials)
 
     def _pack(self, ids: list[int]) -> bytes:
         return array("HI"[self.kind.itemsize // 4], ids).tobytes()
@@ -173,7 +197,7 @@ class Encoder:
         return got
 
     def encode(self, text: bytes) -> bytes:
-        if b"<|" in text:
+        if not self.splits or b"<|" in text:
             return self._pack(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids)
         parts = text.translate(self.lower).split()
         try:
@@ -198,25 +222,33 @@ def vocabulary_size(path: str) -> int:
     return Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
 
 
+def _shards(docs: DataFrame, text_col: str) -> int:
+    """Shards of about SHARD_BYTES; of tables too small to occupy the cluster so, as many as it has shuffle partitions."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(docs[text_col].cast("string"))), F.lit(0)).alias("n")).first()["n"]
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-size // SHARD_BYTES), min(partitions, -(-size // LEAST_BYTES)))
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 1, shards: int | None = None) -> DataFrame:
     """Encodes and writes docs under path; returns the catalog: shard, bin, idx, first_key, last_key, n_docs, n_ids, start.
 
-    Keys are integers; a null key stands as the smallest 64-bit integer. A null text counts as empty and gives only
-    end_id. Repeated keys keep their rows, in the order of the texts' hash and the text. No rows give an empty catalog.
-    The tokenizer file has to be at the given path on every machine.
+    Keys are integers; documents without one come first. A null or empty text gives only end_id; very long ones are
+    encoded whole. Repeated keys keep their rows, in the order of the texts' hash; equal rows may fall into several shards.
+    No rows give an empty catalog. Other columns are ignored, whatever their names. The tokenizer file has to be at the given
+    path on every machine.
     """
     spark = docs.sparkSession
     big = vocabulary_size(tokenizer) > 2**16 or (end_id or 0) >= 2**16
     kind = "<u4" if big else "<u2"
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = F.coalesce(docs[id_col].cast("long"), F.lit(NULL_KEY))
-    rows = docs.select(key.alias("key"), text_bytes(docs[text_col]).alias("text")).withColumn("tie", F.xxhash64("text"))
-    rows = rows.repartitionByRange(n, "key", "tie").sortWithinPartitions("key", "tie", "text").select("key", "text")
+    n = shards or _shards(docs, text_col)
+    rows = docs.select(docs[id_col].cast("long").alias("key"), text_bytes(docs[text_col]).alias("text"))
+    rows = rows.withColumns({"tie": F.xxhash64("text"), "nth": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange(n, "key", "tie", "nth").sortWithinPartitions("key", "tie", "nth").select("key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = encoder_for(tokenizer, kind), b"" if end_id is None else np.array([end_id], kind).tobytes()
         width, name = np.dtype(kind).itemsize, f"{path}/{uuid.uuid4().hex}"
-        keys, counts, out, fs, at = [], [], None, None, ""
+        keys, counts, out, fs, at, nulls = [], [], None, None, "", 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -224,7 +256,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
                 fs, at = local_or_uri(name)
                 fs.create_dir(at.rpartition("/")[0], recursive=True)
                 out = fs.open_output_stream(f"{at}.bin", compression=None)
-            keys.append(batch.column(0).to_numpy())
+            nulls += batch.column(0).null_count
+            keys.append(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False))
             sizes = []
             for text in batch.column(1):
                 payload = encoder.encode(text.as_py()) + end
@@ -236,8 +269,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
         out.close()
         keys, counts = np.concatenate(keys), np.concatenate(counts)
         with fs.open_output_stream(f"{at}.idx", compression=None) as f:
-            f.write(write_index(keys, np.cumsum(counts) - counts, counts, width))
-        row = {"bin": [f"{name}.bin"], "idx": [f"{name}.idx"], "first_key": [keys[0]], "last_key": [keys[-1]], "n_docs": [len(keys)], "n_ids": [int(counts.sum())]}
+            f.write(write_index(keys, np.cumsum(counts) - counts, counts, width, nulls))
+        known = keys[nulls:].tolist()
+        row = {"bin": [f"{name}.bin"], "idx": [f"{name}.idx"], "first_key": known[:1] or [None], "last_key": known[-1:] or [None], "n_docs": [len(keys)], "n_ids": [int(counts.sum())]}
         yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.string() if k in ("bin", "idx") else pa.int64()) for k, v in row.items()})
 
     written = rows.mapInArrow(run, "bin string, idx string, first_key long, last_key long, n_docs long, n_ids long").withColumn("shard", F.spark_partition_id())
@@ -288,7 +322,8 @@ def read(catalog: DataFrame, with_ids: bool = False) -> DataFrame:
                 where = index.find(slots["key"])
                 if (where < 0).any() or (index.slots["key"][where] != slots["key"]).any():
                     raise ValueError(f"{shard['idx']} does not find its own keys")
-                keys = np.repeat(index.slots["key"][where], index.slots["copies"][where].astype(np.int64))
+                keys = np.concatenate([np.zeros(index.nulls, np.int64), np.repeat(index.slots["key"][where], index.slots["copies"][where].astype(np.int64))])
+                unknown = np.arange(len(keys)) < index.nulls
                 counts = index.counts.astype(np.int64)
                 starts = np.cumsum(counts) - counts
                 if (starts[index.slots["row"][where]] != index.slots["offset"][where]).any():
@@ -297,7 +332,7 @@ def read(catalog: DataFrame, with_ids: bool = False) -> DataFrame:
                 with fs.open_input_stream(at, compression=None, buffer_size=1 << 22) as f:
                     for x in range(0, len(keys), 1000):
                         ids = [np.frombuffer(f.read(int(c) * index.id_bytes), f"<u{index.id_bytes}").astype("<u4") for c in counts[x : x + 1000]]
-                        cols = {"key": pa.array(keys[x : x + 1000], pa.int64()), "start": pa.array(starts[x : x + 1000] + shard["start"], pa.int64()), "n_tokens": pa.array(counts[x : x + 1000], pa.int64()), "ids_crc32": pa.array([zlib.crc32(i.tobytes()) for i in ids], pa.int64())}
+                        cols = {"key": pa.array(keys[x : x + 1000], pa.int64(), mask=unknown[x : x + 1000]), "start": pa.array(starts[x : x + 1000] + shard["start"], pa.int64()), "n_tokens": pa.array(counts[x : x + 1000], pa.int64()), "ids_crc32": pa.array([zlib.crc32(i.tobytes()) for i in ids], pa.int64())}
                         if with_ids:
                             cols["ids"] = pa.array([i.astype(np.int64) for i in ids], pa.list_(pa.int64()))
                         yield pa.RecordBatch.from_pydict(cols)

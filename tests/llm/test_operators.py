@@ -874,13 +874,40 @@ def test_perfect_hash():
     assert token_files.Index.parse(token_files.write_index(keys[:0], keys[:0], keys[:0], 2)).find(keys[:3]).tolist() == [-1] * 3
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_any_tokenizer(spark, sf, tmp_path, name):
+    """Files of ids are the library's own, by whatever steps a tokenizer works."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path(name)
+    tokenizer = Tokenizer.from_file(path)
+    docs = table(spark, sf, "documents").where("doc_id < 60").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, "the cat sat"), (-2, "Don't <|endoftext|> x  y\n")], "doc_id long, text string"))
+    rows = token_files.read(token_files.write(docs, f"file://{tmp_path}/t", path), with_ids=True).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert {r.key: r.ids for r in rows} == {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for i, t in texts.items()}
+
+
+def test_keys_and_shards(spark, tmp_path):
+    """The smallest key and none are two things; a hot key is spread over shards; shards grow in number with the bytes."""
+    rows = [(None, "n1"), (None, "n2"), (-(2**63), "low"), (2**63 - 1, "high")] + [(7, f"copy {k % 3}") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    catalog = token_files.write(docs, f"file://{tmp_path}/t", WORD_BPE, shards=6).cache()
+    got = token_files.read(catalog).orderBy("start").collect()
+    assert [r.key for r in got] == [None, None, -(2**63), *[7] * 60, 2**63 - 1]
+    assert catalog.count() == 6 and max(r.n_docs for r in catalog.collect()) < 40
+    assert set(token_files.lookup(spark, catalog, [0, 7, -(2**63), 2**63 - 1])) == {7, -(2**63), 2**63 - 1}
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(token_files, "SHARD_BYTES", 10)
+        assert token_files._shards(docs, "text") == sum(len(t) for _, t in rows) // 10 + 1 == 38
+
+
 def test_token_files_odd(spark, odd, tmp_path):
     catalog = token_files.write(odd, f"file://{tmp_path}/t", WORD_BPE, shards=3).cache()
     rows = token_files.read(catalog, with_ids=True).collect()
     assert len(rows) == odd.count()
     ordered = sorted(rows, key=lambda r: r.start)
     assert [r.start for r in ordered] == np.cumsum([0, *(r.n_tokens for r in ordered)])[:-1].tolist()
-    assert [r.key for r in ordered] == sorted(r.key for r in ordered)
+    assert [r.key for r in ordered] == sorted((r.key for r in ordered), key=lambda k: (k is not None, k))
     found = token_files.lookup(spark, catalog, [5, 777])
     assert set(found) == {5} and found[5].tolist() == next(r.ids for r in rows if r.key == 5)
     none = token_files.write(odd.limit(0), f"file://{tmp_path}/e", WORD_BPE)
