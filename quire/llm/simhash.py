@@ -7,8 +7,8 @@ distance the popcount of an xor. The 32 coordinates form `radius + 3` groups. Tw
 Manhattan distance agree in at least three groups, so the grid's cells are the triples of groups with their counts:
 every link meets in a cell, and what meets is checked by the Manhattan bound and then exactly.
 
-A cell of more than `cell_rows` different fingerprints is not compared pair by pair: its members are joined through
-midpoints. Two fingerprints differ in at most 4 bits exactly if some 64-bit word lies within 2 bits of both, and a
+Cells are counted first. One of more than `cell_rows` different fingerprints is not compared pair by pair, nor gathered:
+its members are joined through midpoints. Two fingerprints differ in at most 4 bits exactly if some 64-bit word lies within 2 bits of both, and a
 word has only 2,081 such neighbours, so those groups stay small however many fingerprints the cell holds.
 """
 
@@ -136,45 +136,29 @@ def grid_links(points: DataFrame, radius: int = 4, cell_rows: int = 2048) -> Dat
     masks = cell_masks(radius)
     cells = points.select("fp", unary_counts(F.col("fp")).alias("t")).select("fp", F.posexplode(F.array(*[F.col("t").bitwiseAND(F.lit(m)) for m in masks])).alias("which", "cell"))
 
+    full = materialise(cells.groupBy("which", "cell").count().where(F.col("count") > cell_rows).select("which", "cell"), "crowded")
+    crowded = None if full.isEmpty() else materialise(cells.join(full, ["which", "cell"], "left_semi").select("fp").distinct(), "crowded")
+    if crowded is not None:
+        cells = cells.join(full, ["which", "cell"], "left_anti")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)]
-        large = None  # the cell whose first members have been passed on already
 
-        def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        def out(*rows: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _cell_links(*rows, radius)], ["a", "b"])
 
         for batch in batches:
-            kept = [np.concatenate([k, batch.column(i).to_numpy(zero_copy_only=False)]) for i, k in enumerate(kept)]
-            which, cell, fp = kept
-            if large is not None:
-                n = int(np.searchsorted(~((which == large[0]) & (cell == large[1])), True))
-                yield out(fp[:n], fp[:n])
-                which, cell, fp = kept = [k[n:] for k in kept]
-                large = None if len(fp) else large
-                if not len(fp):
-                    continue
+            which, cell, fp = kept = [np.concatenate([k, batch.column(i).to_numpy(zero_copy_only=False)]) for i, k in enumerate(kept)]
             change = np.flatnonzero((which[1:] != which[:-1]) | (cell[1:] != cell[:-1])) + 1
-            starts, ends = np.append(0, change), np.append(change, len(fp))
-            done = starts[-1]
-            for s, e in zip(starts.tolist(), ends.tolist()) if (ends - starts).max() > cell_rows else ():
-                if e - s > cell_rows:
-                    yield out(fp[s:e], fp[s:e])
-                    if e == len(fp):
-                        large, done = (which[s], cell[s]), e
-            small = np.repeat(ends - starts <= cell_rows, ends - starts)
-            small[done:] = False
-            yield out(*_cell_links(which[small], cell[small], fp[small], radius))
+            done = change[-1] if len(change) else 0
+            yield out(which[:done], cell[:done], fp[:done])
             kept = [k[done:] for k in kept]
         if len(kept[2]):
-            yield out(*_cell_links(*kept, radius))
+            yield out(*kept)
 
-    met = cells.repartition("which", "cell").sortWithinPartitions("which", "cell", "fp").select("which", "cell", "fp").mapInArrow(run, "a long, b long")
-    met = materialise(met.distinct(), "links")
-    crowded = met.where("a = b").select(F.col("a").alias("fp"))
-    links = met.where("a != b")
-    if not crowded.isEmpty():
-        links = links.unionByName(midpoint_links(crowded, radius))
-    return links
+    met = cells.select("which", "cell", "fp").repartition("which", "cell").sortWithinPartitions("which", "cell", "fp").mapInArrow(run, "a long, b long")
+    links = materialise(met.distinct(), "links")
+    return links if crowded is None else links.unionByName(midpoint_links(crowded, radius))
 
 
 def midpoint_links(points: DataFrame, radius: int) -> DataFrame:
@@ -195,7 +179,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """id_col, fp, component_id (smallest id reachable) for every row of docs.
 
     Rows with equal fingerprints are one point from the start, however many there are. A null text counts as empty;
-    texts without words have fingerprint zero and link like any other. Repeated ids keep their rows. A null id is
+    texts without words have fingerprint zero and link like any other; very long ones are read whole. Repeated ids keep their rows. A null id is
     never a component's id while another row has one. No rows give no rows. Other columns are ignored.
     """
     if radius not in (2, 4):
@@ -203,15 +187,20 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prints = materialise(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
     points = prints.groupBy("fp").agg(F.min(id_col).alias("first_id"))
     links = grid_links(points.select("fp"), radius, cell_rows)
-    roots = connected_components(links, "a", "b")
-    classes = points.join(roots, points.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    lowest = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = materialise(classes.join(lowest, "root").select("fp", "component_id"), "classes")
+    # a fingerprint's label sorts by its smallest id, so that a component's smallest label tells its id
+    label = F.struct(F.col("first_id").isNull().alias("missing"), F.col("first_id").alias("id"), "fp")
+    points = materialise(points.select("fp", label.alias("label")), "points")
+    of = lambda end: points.select(F.col("fp").alias(end), F.col("label").alias(f"label_{end}"))
+    roots = connected_components(links.join(of("a"), "a").join(of("b"), "b"), "label_a", "label_b")
+    classes = points.join(roots.select(F.col("node.fp").alias("fp"), "root"), "fp", "left")
+    classes = materialise(classes.select("fp", F.coalesce("root.id", "label.id").alias("component_id")), "classes")
     return prints.join(classes, "fp").select(id_col, "fp", "component_id")
 
 
 BANDS, BAND_ROWS = 14, 4
+#: Members of a bucket that one group compares, about; larger buckets take several groups, in the second round one for each pair of blocks.
 PIECE = 1024
+#: How far below the similarity an estimate may lie for a pair to be proposed in the first round.
 SLACK = 0.11
 BINS = np.uint64(512)
 
@@ -259,11 +248,13 @@ def similar_links(docs: DataFrame, id_col: str, text_col: str, shingle: int, sim
     """Columns a, b: links that connect the ids of rows whose shingle sets have a Jaccard similarity of at least `similarity`.
 
     Equal texts are linked as such. Of the different ones, those that share one of 14 bands of 4 minimum hashes meet. In
-    the first round each bucket proposes the edges of a forest by estimated similarity, in pieces of bounded size that
-    share the bucket's first member; proposed pairs are checked on the texts themselves. What that links, with the links
-    of `known` (columns a, b), makes components. In the second round every pair of a bucket whose ends are still in
-    different components is checked in the same way, whatever its estimate or piece, unless the sizes of the two sets or
-    their counts by bin prove that it falls short: the first round only saves checks that could join nothing.
+    the first round each bucket proposes the edges of a forest by estimated similarity, in pieces that share the bucket's
+    smallest member; proposed pairs are checked on the texts themselves. What that links, with the links of `known`
+    (columns a, b), makes components. In the second round every pair of a bucket whose ends are still in different
+    components is checked in the same way, whatever its estimate or piece, unless the sizes of the two sets or their
+    counts by bin prove that it falls short: the first round only saves checks that could join nothing. A large bucket is
+    dealt into blocks, and each pair of blocks is a group of its own, so no group grows with the bucket. Rows with a null id
+    and texts without words have no links here; very long texts are read whole; no rows give no links.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +282,7 @@ def similar_links(docs: DataFrame, id_col: str, text_col: str, shingle: int, sim
     bands = F.array(*[F.xxhash64(F.lit(k), F.substring("sig", k * BAND_ROWS * 4 + 1, BAND_ROWS * 4)) for k in range(BANDS)])
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, sigs, first = None, [], [], None
+        at, ids, sigs = None, [], []
 
         def edges() -> pa.RecordBatch:
             found = _likely(np.frombuffer(b"".join(sigs), "<u4").reshape(len(sigs), -1), similarity - SLACK) if len(ids) > 1 else []
@@ -299,30 +290,34 @@ def similar_links(docs: DataFrame, id_col: str, text_col: str, shingle: int, sim
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            for band, i, sig in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if band != at or len(ids) >= PIECE:
+            for band, piece, i, sig in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (band, piece) != at:
                     if len(ids) > 1:
                         yield edges()
-                    ids, sigs = ([first[0]], [first[1]]) if band == at else ([], [])
-                    if band != at:
-                        at, first = band, (i, sig)
+                    at, ids, sigs = (band, piece), [], []
                 ids.append(i)
                 sigs.append(sig)
         if len(ids) > 1:
             yield edges()
 
-    met = signed.select(F.explode(bands).alias("band"), "id", "sig").repartition("band").sortWithinPartitions("band", "sig", "id")
+    buckets = materialise(signed.select(F.explode(bands).alias("band"), "id").groupBy("band").agg(F.count("*").alias("c"), F.min("id").alias("head")).where("c > 1"), "buckets")
+    pieces = F.ceil(F.col("c") / PIECE).cast("int")
+    dealt = F.pmod(F.xxhash64("id"), pieces).cast("int")
+    met = signed.select(F.explode(bands).alias("band"), "id", "sig").join(buckets, "band").select("band", dealt.alias("piece"), "id", "sig")
+    heads = buckets.where(F.col("c") > PIECE).select("band", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"), F.col("head").alias("id"))
+    met = met.unionByName(heads.join(signed.select("id", "sig"), "id").select("band", "piece", "id", "sig")).distinct()
+    met = met.repartition("band", "piece").sortWithinPartitions("band", "piece", "sig", "id")
     edges = materialise(met.mapInArrow(propose, "a long, b long").distinct(), "candidates")
 
     def still_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
 
         def pairs() -> Iterator[pa.RecordBatch]:
-            ids, root, n, over = (np.array([r[k] for r in held], np.int64) for k in range(4))
-            bins = np.frombuffer(b"".join([r[4] for r in held]), np.uint8).reshape(len(held), -1)
+            block, n, ids, root, over = (np.array([r[k] for r in held], np.int64) for k in range(5))
+            bins = np.frombuffer(b"".join([r[5] for r in held]), np.uint8).reshape(len(held), -1)
             for x in range(len(held) - 1):
                 y = np.arange(x + 1, np.searchsorted(n * similarity, n[x], "right"))  # sorted by size
-                y = y[root[y] != root[x]]
+                y = y[(root[y] != root[x]) & ((block[y] != block[x]) | (at[1] == at[2]))]
                 for z in (y[k : k + SLAB] for k in range(0, len(y), SLAB)):
                     most = np.minimum(np.minimum(bins[z], bins[x]).sum(axis=1, dtype=np.int64) + np.minimum(over[z], over[x]), n[x])
                     z = z[most >= similarity * (n[z] + n[x] - most)]
@@ -330,10 +325,11 @@ def similar_links(docs: DataFrame, id_col: str, text_col: str, shingle: int, sim
                         yield pa.RecordBatch.from_arrays([pa.array(f(ids[z], ids[x]), pa.int64()) for f in (np.minimum, np.maximum)], ["a", "b"])
 
         for batch in batches:
-            for band, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if band != at:
-                    yield from pairs() if held else ()
-                    at, held = band, []
+            for band, i, j, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (band, i, j) != at:
+                    if held:
+                        yield from pairs()
+                    at, held = (band, i, j), []
                 held.append(row)
         if held:
             yield from pairs()
@@ -364,11 +360,13 @@ def similar_links(docs: DataFrame, id_col: str, text_col: str, shingle: int, sim
     links = copies.unionByName(checked(edges))
     links = links.unionByName(known.select("a", "b")) if known is not None else links
     roots = materialise(connected_components(links, "a", "b"), "roots")
-    members = signed.select(F.explode(bands).alias("band"), "id", "n").join(roots.withColumnRenamed("node", "id"), "id", "left").select("band", "id", "n", F.coalesce("root", "id").alias("root"))
-    mixed = members.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
-    apart = materialise(members.join(mixed, "band", "left_semi"), "apart")
-    apart = apart.join(signed.select("id", "bins", "over"), "id").select("band", "id", "root", "n", "over", "bins")
-    left = apart.repartition("band").sortWithinPartitions("band", "n", "id").mapInArrow(still_apart, "a long, b long")
+    members = signed.select(F.explode(bands).alias("band"), "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
+    mixed = members.groupBy("band").agg(F.count("*").alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    apart = members.join(mixed.select("band", pieces.alias("blocks")), "band").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    apart = materialise(apart.select("band", "id", "root", "block", "blocks"), "apart")
+    apart = apart.join(signed.select("id", "n", "bins", "over"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    apart = apart.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "n", "id", "root", "over", "bins")
+    left = apart.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "n", "id").mapInArrow(still_apart, "a long, b long")
     left = materialise(left.distinct().join(edges, ["a", "b"], "left_anti"), "candidates")
     links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     return links if left.isEmpty() else links.unionByName(checked(left))
@@ -379,8 +377,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
     Rows are linked by fingerprints within `radius` bits, and by a Jaccard similarity of their shingle sets of at least
     `similarity`, which fingerprints of 64 bits alone would miss for the most part: at 0.8 they differ in ten bits or so.
-    Rows without words link with one another. Of rows that repeat an id one stays (the smallest text); rows with a null
-    id stay. Columns and their order stay.
+    Rows without words link with one another; very long texts are read whole. Of rows that repeat an id one stays (the
+    smallest text); rows with a null id stay. No rows give no rows. Columns and their order stay, whatever their names.
     """
     found = materialise(components(docs, id_col, text_col, shingle, radius).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("a"), F.col("component_id").cast("long").alias("b")), "near")
     links = similar_links(docs, id_col, text_col, shingle, similarity, known=found.where("a != b"))

@@ -791,6 +791,42 @@ def test_keep_one(spark, odd):
     assert simhash.keep_one(odd.limit(0)).count() == 0
 
 
+def all_links(texts: dict[int, str | None]) -> dict[int, int]:
+    """The smallest id that each id reaches by fingerprints within 4 bits or a similarity of 0.8 of five-word shingles."""
+    words = {i: lower(t or "").split() for i, t in texts.items()}
+    sets = {i: frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset() for i, w in words.items()}
+    prints = {i: plain_fingerprint(t, 5) for i, t in texts.items()}
+    root = plain_groups(prints)
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    order = sorted((i for i in sets if sets[i]), key=lambda i: len(sets[i]))
+    for k, a in enumerate(order):
+        for b in order[k + 1 :]:
+            if len(sets[b]) * 0.8 > len(sets[a]):
+                break
+            if find(a) != find(b):
+                common = len(sets[a] & sets[b])
+                if common >= 0.8 * (len(sets[a]) + len(sets[b]) - common):
+                    x, y = find(a), find(b)
+                    root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in texts}
+
+
+@pytest.mark.parametrize("piece", [simhash.PIECE, 3])
+def test_kept_rows_against_all_pairs(spark, monkeypatch, piece):
+    """The whole grouping of a table, and the same when each bucket takes many pieces and blocks."""
+    monkeypatch.setattr(simhash, "PIECE", piece)
+    sf = "/root/testdata/sf0.01"
+    texts = texts_of(spark, sf)
+    groups = all_links(texts)
+    assert len(set(groups.values())) < len(texts)
+    assert {r.doc_id for r in simhash.keep_one(table(spark, sf, "documents")).collect()} == set(groups.values())
+
+
 def alike_groups(sets: dict[int, set[str]]) -> set[frozenset[int]]:
     """Groups of ids that pairs of at least 0.8 connect."""
     group = {i: {i} for i in sets}
