@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import ASCII_LOWER, connected_components, discard, materialise, text_bytes
+from quire.llm.common import ASCII_LOWER, connected_components, discard, free_shuffles, materialise, text_bytes
 
 LOW_BITS = 0x5555555555555555
 SLAB = 4096
@@ -199,7 +199,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 BANDS, BAND_ROWS = 14, 4
 #: Members of a bucket that one group compares, about; larger buckets take several groups, in the second round one for each pair of blocks.
-PIECE = 1024
+PIECE = 512
 #: How far below the similarity an estimate may lie for a pair to be proposed in the first round.
 SLACK = 0.11
 BINS = np.uint64(512)
@@ -259,25 +259,24 @@ def similar_links(docs: DataFrame, id_col: str, text_col: str, shingle: int, sim
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sigs, sizes, binned, overs = [], [], [], [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            out = []
+            for t in batch.column(2):
                 slabs = list(shingle_hashes(t.as_py(), shingle, seed))
-                if slabs:
-                    ids.append(i)
-                    sigs.append(_least(slabs).tobytes())
-                    n, bins, over = _binned(slabs)
-                    sizes.append(n)
-                    binned.append(bins)
-                    overs.append(over)
-            columns = [pa.array(x, kind) for x, kind in ((ids, pa.int64()), (sigs, pa.binary()), (sizes, pa.int64()), (binned, pa.binary()), (overs, pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "sig", "n", "bins", "over"])
-
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.md5(text_bytes(docs[text_col])).alias("same"))
-    classes = materialise(rows.groupBy("same").agg(F.min("id").alias("rep")), "texts")
-    copies = rows.join(classes, "same").where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(docs[text_col]).alias("t"))
-    texts = texts.withColumn("same", F.md5("t")).join(classes.withColumnRenamed("rep", "id"), ["id", "same"], "left_semi").select("id", "t")
-    signed = materialise(texts.mapInArrow(run, "id long, sig binary, n long, bins binary, over long"), "signatures")
+                out.append((_least(slabs).tobytes(), *_binned(slabs)) if slabs else (None, 0, None, 0))
+            kinds = (pa.binary(), pa.int64(), pa.binary(), pa.int64())
+            columns = [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "same", "sig", "n", "bins", "over"])
+
+    spark = docs.sparkSession
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_bytes(docs[text_col]).alias("t"))
+    texts = texts.select("id", F.md5("t").alias("same"), "t")
+    # signatures are worked out where the texts are, so that of a text only its signature travels
+    read = texts.mapInArrow(run, "id long, same string, sig binary, n long, bins binary, over long")
+    classes = materialise(read.groupBy("same").agg(F.min(F.struct("id", "sig", "n", "bins", "over")).alias("r")).select("same", "r.*"), "signatures")
+    signed = classes.where("sig is not null").select("id", "sig", "n", "bins", "over")
+    firsts = classes.select("same", F.col("id").alias("rep"))
+    copies = texts.select("id", "same").join(firsts, "same").where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    free_shuffles(spark)
 
     bands = F.array(*[F.xxhash64(F.lit(k), F.substring("sig", k * BAND_ROWS * 4 + 1, BAND_ROWS * 4)) for k in range(BANDS)])
 
@@ -351,10 +350,15 @@ def similar_links(docs: DataFrame, id_col: str, text_col: str, shingle: int, sim
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def checked(edges: DataFrame) -> DataFrame:
-        used = materialise(texts.join(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct(), "id"), "candidate-texts")
+        asked = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().join(classes.select("id", "same"), "id")
+        asked = materialise(asked, "asked")  # its size is then known: while it is small, no text but the asked ones travels
+        used = materialise(texts.join(asked, ["id", "same"], "left_semi").select("id", "t").dropDuplicates(["id"]), "candidate-texts")
+        free_shuffles(spark)
         pairs = edges.join(used.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(used.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
         out = materialise(pairs.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long"), "similar")
-        discard(used)
+        for done in (asked, used):
+            discard(done)
+        free_shuffles(spark)
         return out
 
     links = copies.unionByName(checked(edges))
@@ -364,12 +368,16 @@ def similar_links(docs: DataFrame, id_col: str, text_col: str, shingle: int, sim
     mixed = members.groupBy("band").agg(F.count("*").alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     apart = members.join(mixed.select("band", pieces.alias("blocks")), "band").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     apart = materialise(apart.select("band", "id", "root", "block", "blocks"), "apart")
-    apart = apart.join(signed.select("id", "n", "bins", "over"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    apart = apart.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "n", "id", "root", "over", "bins")
-    left = apart.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "n", "id").mapInArrow(still_apart, "a long, b long")
+    spread = apart.join(signed.select("id", "n", "bins", "over"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "n", "id", "root", "over", "bins")
+    left = spread.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "n", "id").mapInArrow(still_apart, "a long, b long")
     left = materialise(left.distinct().join(edges, ["a", "b"], "left_anti"), "candidates")
     links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return links if left.isEmpty() else links.unionByName(checked(left))
+    links = links if left.isEmpty() else links.unionByName(checked(left))
+    for done in (classes, buckets, edges, apart, left):
+        discard(done)
+    free_shuffles(spark)
+    return links
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
