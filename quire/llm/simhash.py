@@ -200,6 +200,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 BANDS, BAND_ROWS = 14, 4
 #: Members of a bucket that one group compares, about; larger buckets take several groups, in the second round one for each pair of blocks.
 PIECE = 512
+#: Ids that are broadcast, eight bytes each, to pick texts before they travel; more ids are joined by shuffles alone.
+BROADCAST_IDS = 2_000_000
 #: How far below the similarity an estimate may lie for a pair to be proposed in the first round.
 SLACK = 0.11
 BINS = np.uint64(512)
@@ -299,12 +301,14 @@ def similar_links(docs: DataFrame, id_col: str, text_col: str, shingle: int, sim
         if len(ids) > 1:
             yield edges()
 
-    buckets = materialise(signed.select(F.explode(bands).alias("band"), "id").groupBy("band").agg(F.count("*").alias("c"), F.min("id").alias("head")).where("c > 1"), "buckets")
+    banded = signed.select(F.explode(bands).alias("band"), "id")
+    buckets = banded.groupBy("band").agg(F.count("*").alias("c"), F.min("id").alias("head")).where("c > 1")
+    members = materialise(banded.join(buckets, "band"), "members")
     pieces = F.ceil(F.col("c") / PIECE).cast("int")
-    dealt = F.pmod(F.xxhash64("id"), pieces).cast("int")
-    met = signed.select(F.explode(bands).alias("band"), "id", "sig").join(buckets, "band").select("band", dealt.alias("piece"), "id", "sig")
-    heads = buckets.where(F.col("c") > PIECE).select("band", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"), F.col("head").alias("id"))
-    met = met.unionByName(heads.join(signed.select("id", "sig"), "id").select("band", "piece", "id", "sig")).distinct()
+    heads = members.where(F.col("c") > PIECE).select("band", "c", "head").distinct()
+    heads = heads.select("band", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"), F.col("head").alias("id"))
+    met = members.select("band", F.pmod(F.xxhash64("id"), pieces).cast("int").alias("piece"), "id").unionByName(heads).distinct()
+    met = met.join(signed.select("id", "sig"), "id").select("band", "piece", "id", "sig")
     met = met.repartition("band", "piece").sortWithinPartitions("band", "piece", "sig", "id")
     edges = materialise(met.mapInArrow(propose, "a long, b long").distinct(), "candidates")
 
@@ -351,8 +355,11 @@ def similar_links(docs: DataFrame, id_col: str, text_col: str, shingle: int, sim
 
     def checked(edges: DataFrame) -> DataFrame:
         asked = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().join(classes.select("id", "same"), "id")
-        asked = materialise(asked, "asked")  # its size is then known: while it is small, no text but the asked ones travels
-        used = materialise(texts.join(asked, ["id", "same"], "left_semi").select("id", "t").dropDuplicates(["id"]), "candidate-texts")
+        asked = materialise(asked, "asked")
+        near = texts  # no text but the asked ones travels, while there are few enough ids to send them everywhere
+        if asked.count() <= BROADCAST_IDS:
+            near = near.join(F.broadcast(asked.select("id")), "id", "left_semi")
+        used = materialise(near.join(asked, ["id", "same"], "left_semi").select("id", "t").dropDuplicates(["id"]), "candidate-texts")
         free_shuffles(spark)
         pairs = edges.join(used.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(used.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
         out = materialise(pairs.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long"), "similar")
@@ -364,9 +371,9 @@ def similar_links(docs: DataFrame, id_col: str, text_col: str, shingle: int, sim
     links = copies.unionByName(checked(edges))
     links = links.unionByName(known.select("a", "b")) if known is not None else links
     roots = materialise(connected_components(links, "a", "b"), "roots")
-    members = signed.select(F.explode(bands).alias("band"), "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
-    mixed = members.groupBy("band").agg(F.count("*").alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    apart = members.join(mixed.select("band", pieces.alias("blocks")), "band").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    rooted = members.select("band", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
+    mixed = rooted.groupBy("band").agg(F.count("*").alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    apart = rooted.join(mixed.select("band", pieces.alias("blocks")), "band").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     apart = materialise(apart.select("band", "id", "root", "block", "blocks"), "apart")
     spread = apart.join(signed.select("id", "n", "bins", "over"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "n", "id", "root", "over", "bins")
@@ -374,7 +381,7 @@ def similar_links(docs: DataFrame, id_col: str, text_col: str, shingle: int, sim
     left = materialise(left.distinct().join(edges, ["a", "b"], "left_anti"), "candidates")
     links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     links = links if left.isEmpty() else links.unionByName(checked(left))
-    for done in (classes, buckets, edges, apart, left):
+    for done in (classes, members, edges, apart, left):
         discard(done)
     free_shuffles(spark)
     return links
