@@ -85,36 +85,3 @@ def normalize_chapters(chapters: DataFrame) -> DataFrame:
     title = T.normalize_paragraph(F.coalesce("title", F.lit("")))
     out = out.withColumn("title", F.when(title == "", "Untitled Section").otherwise(title))
     return settled(out).where((F.size("blocks") > 0) | (F.size("footnotes") > 0))
-
-
-def merge_paragraphs(texts: Column) -> Column:
-    """Texts of paragraphs with those joined that go on in the next."""
-    none = F.array().cast("array<string>")
-
-    def step(acc: Column, t: Column) -> Column:
-        last = F.element_at(acc, -1)
-        goes_on = (F.size(acc) > 0) & T.should_merge(last, t)
-        return F.when(goes_on, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(T.merge(last, t)))).otherwise(F.concat(acc, F.array(t)))
-
-    return F.aggregate(F.filter(F.transform(texts, T.trim), lambda x: x != ""), none, step)
-
-
-def merge_lines(lines: DataFrame, group: list[str], pos: str, text: str) -> DataFrame:
-    """The same for a row a paragraph and text without CJK, by windows: group columns, pos (of the first) and text.
-
-    Whether a line goes on depends on its neighbours alone there, so breaks are numbered by a running sum and each
-    island is joined. For text with CJK use merge_paragraphs.
-    """
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(*group).orderBy(pos)
-    clean = lines.withColumn(text, T.trim(F.col(text))).where(F.col(text) != "")
-    before = F.lag(text).over(order)
-    marked = clean.withColumn("__new", (~F.coalesce(T.should_merge(before, F.col(text)), F.lit(False))).cast("int"))
-    marked = marked.withColumn("__island", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    lag_hyphen = F.when(F.col("__new") == 1, "").when(before.endswith("-"), "").otherwise(" ")
-    goes_on = F.lead("__new").over(order) == 0
-    body = F.when(F.coalesce(goes_on, F.lit(False)) & F.col(text).endswith("-"), F.regexp_replace(text, r"-\z", "")).otherwise(F.col(text))
-    marked = marked.withColumn("__piece", F.concat(lag_hyphen, body))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(pos, "__piece"))), lambda x: x["__piece"]), "")
-    return marked.groupBy(*group, "__island").agg(F.min(pos).alias(pos), joined.alias(text)).drop("__island")

@@ -19,12 +19,6 @@ def document_frequencies(chunks: DataFrame, text: str = "text") -> DataFrame:
     return chunks.select("book", F.explode(F.array_distinct(T.tokenize(F.col(text)))).alias("term")).groupBy("book", "term").agg(F.count("*").alias("df"))
 
 
-def average_lengths(chunks: DataFrame, text: str = "text") -> DataFrame:
-    """book, n, avgdl: chunks and terms a chunk; 1.0 for a book without terms."""
-    out = chunks.groupBy("book").agg(F.count("*").alias("n"), F.avg(F.size(T.tokenize(F.col(text)))).alias("avgdl"))
-    return out.withColumn("avgdl", F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0))
-
-
 def top_k(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, id, score: the k best chunks (book, id, text) of each query's book (query_id, book, query).
 

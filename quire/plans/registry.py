@@ -165,9 +165,12 @@ def normalize_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {KEPT_LINES} select doc_id, pos, line from kept")
 def dedupe_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = normalize_lines(spark, sf_dir).where("line != ''")
-    before = F.lag("line").over(Window.partitionBy("doc_id").orderBy("pos"))
-    return clean.withColumn("before", before).where("before is null or before != line").drop("before")
+    """Lines as paragraph blocks whose level is their place, normalised, without empty ones and repeats."""
+    made = blocks.paragraphs(F.split("text", "\n", -1))
+    placed = F.transform(made, lambda b, k: b.withField("level", k))
+    docs = blocks.settled(spread(table(spark, sf_dir, "documents")).select("doc_id", blocks.drop_empty(F.transform(placed, blocks.normalize_block)).alias("blocks")))
+    kept = docs.select("doc_id", F.explode(blocks.drop_repeats(F.col("blocks"))).alias("b"))
+    return kept.select("doc_id", F.col("b.level").cast("long").alias("pos"), F.col("b.text").alias("line"))
 
 
 @query(f"""
@@ -182,17 +185,20 @@ def dedupe_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
     islands as (select *, sum(fresh) over (partition by doc_id order by pos rows unbounded preceding) as island,
         lead(fresh) over (partition by doc_id order by pos) as next_fresh from marked)
-    select doc_id, min(pos) as pos, string_agg(case when fresh = 1 or before like '%-' then '' else ' ' end
+    select doc_id, row_number() over (partition by doc_id order by min(pos)) - 1 as nth, string_agg(case when fresh = 1 or before like '%-' then '' else ' ' end
         || case when next_fresh = 0 and line like '%-' then left(line, -1) else line end, '' order by pos) as line
     from islands group by doc_id, island
 """)
 def merge_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines cut in the middle, as by a page end, and put together where they go on."""
-    lines = lines_of(spread(table(spark, sf_dir, "documents")))
-    half = F.floor(F.length("line") / 2).cast("int")
-    cut = F.array(F.expr("substring(line, 1, length(line) div 2)"), F.substring("line", half + 1, F.length("line")))
-    halves = lines.select("doc_id", F.col("pos").alias("at"), F.posexplode(cut).alias("h", "line")).select("doc_id", (F.col("at") * 2 + F.col("h")).cast("long").alias("pos"), "line")
-    return blocks.merge_lines(halves, ["doc_id"], "pos", "line")
+    """Lines cut in the middle, as by a page end, each a paragraph of a web page, and put together where they go on."""
+    half = lambda x: F.floor(F.length(x) / 2).cast("int")
+    halves = F.flatten(F.transform(F.split("text", "\n", -1), lambda x: F.array(F.substring(x, F.lit(1), half(x)), F.substring(x, half(x) + 1, F.length(x)))))
+    safe = lambda x: F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    page = F.array_join(F.transform(halves, lambda x: F.concat(F.lit("<p>"), safe(x), F.lit("</p>"))), "\n")
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    documents = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("string").alias("book"), F.lit(0).alias("spine_pos"), F.lit("x").alias("href"), page.cast("binary").alias("data"), F.array().cast("array<struct<fragment:string,title:string>>").alias("targets"), none.alias("notes"))
+    parsed = epub.parse_documents(documents).select(F.col("book").cast("long").alias("doc_id"), F.posexplode("blocks").alias("nth", "b"))
+    return parsed.select("doc_id", F.col("nth").cast("long").alias("nth"), F.col("b.text").alias("line"))
 
 
 ENTRY = "case pos % 4 when 1 then 'Chapter ' || pos when 2 then left(line, 20) || ' .... ' || pos else line end"
@@ -544,7 +550,9 @@ def order_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.struct((F.col("l_suppkey") % 5).cast("string").alias("id"), F.format_string("f%d.html", "l_linenumber").alias("href"), F.lit("").alias("media_type"), F.lit("").alias("properties"))
     place = F.struct("l_linenumber", item.alias("item"), (F.col("l_partkey") % 7).cast("string").alias("ref"))
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("book")).agg(F.sort_array(F.collect_list(place)).alias("lines"))
-    return lines.select("book", F.transform("lines", lambda x: x["item"]).alias("manifest"), F.transform("lines", lambda x: x["ref"]).alias("spine"))
+    manifest, spine = F.transform("lines", lambda x: x["item"]), F.transform("lines", lambda x: x["ref"])
+    entries = F.transform(manifest, lambda i: F.struct(i["href"].alias("name"), i["href"].cast("binary").alias("data")))
+    return lines.select("book", manifest.alias("manifest"), spine.alias("spine"), F.array_distinct(entries).alias("entries"))
 
 
 _PACKAGES = """m as (select l_orderkey as book, (l_suppkey % 5)::varchar as id, arg_max('f' || l_linenumber || '.html', {'n': l_linenumber, 'i': (l_suppkey % 5)::varchar, 'r': (l_partkey % 7)::varchar}) as href from lineitem group by all),
@@ -558,9 +566,8 @@ def manifest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {_PACKAGES} select book, spine_pos, href from s join m using (book, id)")
 def spine_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    package = order_packages(spark, sf_dir)
-    joined = epub.spine(package).join(epub.manifest(package), ["book", "id"])
-    return joined.select("book", F.col("spine_pos").cast("long").alias("spine_pos"), "href")
+    found = epub.spine_documents(order_packages(spark, sf_dir))
+    return found.select("book", F.col("spine_pos").cast("long").alias("spine_pos"), "href")
 
 
 @query("""select page_id, lower(trim(m)) in ('application/xhtml+xml', 'text/html') or regexp_matches(lower(h), '\\.(xhtml|html|htm)$') as is_document
