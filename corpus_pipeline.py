@@ -1,4 +1,8 @@
-"""A training corpus from documents: quality, near-duplicates, decontamination, personal data, token ids."""
+"""A training corpus from documents: quality, near-duplicates, decontamination, personal data, token ids.
+
+All stages take nulls in any column, empty and very long texts, repeated rows and empty tables (which give empty ones);
+columns that they don't name are handed on. What each makes of such rows is said below.
+"""
 
 from __future__ import annotations
 
@@ -10,23 +14,27 @@ from quire.llm.queries import tokenizer_path
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the scorer keeps; null, empty and blank texts go, repeated rows are judged alike."""
     return quality.score(docs).where("keep").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group, that of the smallest id; of rows that repeat an id one stays, rows without an id stay."""
     return simhash.keep_one(docs, shingle=5, similarity=0.8, radius=4)
 
 
 def cut_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without what they share with benchmark; those that lose over half of their words go, null texts stay null."""
     return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"), window=10, max_coverage=0.5)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows with spans of personal data replaced by their kinds; null texts stay null."""
     return pii.mask(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and ids (packed, little-endian), without the text."""
+    """doc_id, lang, source and ids (packed, little-endian), without the text; null and empty texts have no ids."""
     return pieces.encode(docs, tokenizer_path("piece_bpe_32k.model"), rate=0.1, seed=42).select("doc_id", "lang", "source", "ids")
 
 
