@@ -6,6 +6,7 @@ import hashlib
 import json
 import shutil
 import zipfile
+from itertools import permutations
 
 import pytest
 from pyspark.sql import functions as F
@@ -219,3 +220,14 @@ def test_fallback(spark):
     rows = spark.createDataFrame([("b", "frontmatter", "x"), ("b", "backmatter", "y"), ("c", "frontmatter", "x")], "book string, kind string, classify_reason string")
     got = sorted((r.book, r.kind, r.classify_reason) for r in classify.ensure_main(rows).collect())
     assert got == [("b", "frontmatter", "x"), ("b", "main", "fallback:no_main_detected"), ("c", "frontmatter", "x")]
+
+
+def test_equal_scores_go_to_the_smaller_id_in_whatever_order_they_are_summed(spark):
+    """Every chunk has the same counts, each of another term: the true scores are equal, sums of doubles are not."""
+    terms = ["ash", "birch", "cedar", "elm", "fir"]
+    counts = list(permutations([1, 2, 3, 5, 7]))
+    chunks = spark.createDataFrame([("b", i, " ".join(" ".join([t] * n) for t, n in zip(terms, c, strict=True))) for i, c in enumerate(counts)], "book string, id long, text string")
+    queries = spark.createDataFrame([("q", "b", " ".join(terms))], "query_id string, book string, query string")
+    got = retrieval.top_k(chunks, queries, 40).orderBy("rank").collect()
+    assert [r.id for r in got] == list(range(40))
+    assert len({r.score for r in got}) == 1
