@@ -13,6 +13,8 @@ from quire.functions import text as T
 K1, B = 1.2, 0.75
 #: Scores that agree to so many digits are ties.
 TIE_DIGITS = 9
+#: Gains are multiples of 1 / GRAIN, so that sums below 512 are exact in any order.
+GRAIN = float(1 << 44)
 SHARD_CHARS = 8_000_000
 
 
@@ -24,8 +26,8 @@ def document_frequencies(chunks: DataFrame, text: str = "text") -> DataFrame:
 def top_k(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, id, score: the k best chunks (book, id, text) of each query's book (query_id, book, query).
 
-    Ties, to TIE_DIGITS digits, go to the smaller id; the gains of a chunk are summed as decimals, so that copies score alike in
-    whatever order the gains arrive. Chunks that share no term with the query score zero and follow. A query without terms has
+    Ties, to TIE_DIGITS digits, go to the smaller id; gains are rounded to 44 binary places, so that copies score alike in
+    whatever order they are summed. Chunks that share no term with the query score zero and follow. A query without terms has
     no rows. Chunks are tokenised once and only terms that some query asks for leave that stage; zero scores are filled from each book's
     k smallest ids rather than by pairing every query with every chunk.
     """
@@ -38,7 +40,7 @@ def top_k(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weighted = asked.join(df, ["book", "term"]).join(lengths, "book").select("query_id", "book", "term", "avgdl", (idf * F.col("times")).alias("w"))
     gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = weighted.join(postings, ["book", "term"]).groupBy("query_id", "id").agg(F.sum((F.col("w") * gain).cast("decimal(38,18)")).cast("double").alias("score"))
+    hits = weighted.join(postings, ["book", "term"]).groupBy("query_id", "id").agg((F.sum(F.rint(F.col("w") * gain * GRAIN)) / GRAIN).alias("score"))
     first = chunks.select("book", "id").withColumn("r", F.row_number().over(Window.partitionBy("book").orderBy("id"))).where(F.col("r") <= k)
     filled = asked.select("query_id", "book").distinct().join(first, "book").select("query_id", "id", F.lit(0.0).alias("score"))
     best = hits.unionByName(filled).groupBy("query_id", "id").agg(F.max("score").alias("score"))
